@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.glyphs import look_alike_pairs
-from inkstone.llm import glyph_unify
+from inkstone.llm import bisect_split, glyph_unify, leak_search
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,5 +57,38 @@ terms AS (SELECT term_id, term, {_sql_looks("term")} AS look FROM glossary_terms
 SELECT DISTINCT item_kind, item_id, term_id FROM looks JOIN terms USING (look) WHERE trim(text, ' ') <> term"""
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified}
-SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql}
+def _split(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    things = bisect_split.items(table(spark, d, "parsed_pages"), table(spark, d, "structured_tables"))
+    return bisect_split.split_items(things, table(spark, d, "split_limits"), with_text)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d, False).select("item_kind", "item_id", "cut").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of all oversized items."""
+    return _split(spark, d, True)
+
+
+def p4_sql() -> str:
+    closers = bisect_split.CLOSERS.replace("'", "''").replace("]", "\\]")
+    mark = "chr(1)"
+    broken = f"""regexp_replace(regexp_replace(regexp_replace(text, '(\n\s*\n)', {mark} || '\1' || {mark}, 'g'), '([。！？][{closers}]*)', '\1' || {mark}, 'g'), '([.!?][{closers}]*)(\s|{chr(1)})', '\1' || {mark} || '\2', 'g')"""
+    return f"""
+WITH things AS (
+  SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text, NULL AS rows FROM (SELECT unnest(sections) AS s FROM parsed_pages)
+  UNION ALL SELECT 'page', doc_id || '-p' || CASE WHEN length(page::VARCHAR) < 3 THEN lpad(page::VARCHAR, 3, '0') ELSE page::VARCHAR END, text, NULL FROM parsed_pages
+  UNION ALL SELECT 'table', table_id, array_to_string(list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL), chr(10)), list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL) FROM structured_tables
+), over AS (SELECT * FROM things JOIN split_limits USING (item_kind) WHERE length(text) > max_chars AND item_id IS NOT NULL),
+stretches AS (SELECT item_kind, item_id, max_chars, CASE WHEN rows IS NULL THEN list_transform(string_split({broken}, {mark}), lambda x: length(x))
+  ELSE list_transform(rows, lambda x, i: length(x) + CASE WHEN i > 1 THEN 1 ELSE 0 END) END AS sizes FROM over)
+SELECT DISTINCT item_kind, item_id, CASE WHEN list_max(sizes) > max_chars THEN 'forced' ELSE 'boundary' END AS cut FROM stretches"""
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql}
