@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.glyphs import look_alike_pairs
-from inkstone.llm import bisect_split, glyph_unify, leak_search
+from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,5 +90,42 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    sized = mix_sources.sized_documents(table(spark, d, "documents"))
+    targets, budget = table(spark, d, "mix_targets"), mix_sources.budget_of(sized)
+    planned = mix_sources.schedule(sized, targets)
+    return planned, mix_sources.ledger(planned, targets, budget), budget
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, book, _ = _planned(spark, d)
+    return book.where("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The copies of documents that make up the mixture, in its order."""
+    return mix_sources.mixture(*_planned(spark, d))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    planned, book, budget = _planned(spark, d)
+    return mix_sources.shares(mix_sources.mixture(planned, book, budget), book)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return cut_detect.scored(documents, cut_detect.fit(documents))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("cut").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    return cut_detect.rates(_scored(spark, d))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found,
+                             "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql}
