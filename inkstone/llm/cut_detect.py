@@ -7,7 +7,8 @@ length's distance to limits is trained on them, trained again without the negati
 scores every record.
 
 A source's limits are the lengths that far more of its values have than neighbouring lengths: they are
-counted over all documents. Training takes at most `sample` documents, those with the smallest hashes.
+counted over all documents. Training takes the documents
+with a hash under a bound that lets about `sample` of them through, and no more than `sample`.
 
 Defined results: a null or blank text is not cut (score 0); a document delivered again counts once, a null
 source is one source of its own; without any intact text nothing is cut. Extra columns are left out.
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the model is trained on, at most.
-SAMPLE = 20_000
+#: Documents the model is trained on, about and at most.
+SAMPLE = 10_000
 TAIL = 240
 BITS = 18
 TERMINAL = "。！？.!?．"
@@ -120,11 +121,14 @@ def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], sample: in
     limit = F.coalesce(F.try_element_at(row, F.coalesce("source", F.lit(""))), F.lit(0))
     dice = F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(1000)) / 1000
     cut = F.when((limit > 0) & (limit < size) & (F.pmod(F.xxhash64("doc_id", F.lit("at")), F.lit(2)) == 0), limit).otherwise((size * (0.3 + 0.69 * dice)).cast("int"))
+    usable = documents.where("doc_id is not null")
+    share = min(1.0, sample / max(1, usable.count()))
     rows = (
-        documents.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).where(F.length(F.trim("text")) > 0).withColumn("cut", cut)
+        usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).withColumn("text", F.coalesce("text", F.lit(""))).where(F.length(F.trim("text")) > 0).withColumn("cut", cut)
         .select("source", F.expr(f"right(text, {TAIL})").alias("tail"), size.alias("size"), "cut", F.expr(f"substring(text, greatest(cut - {TAIL}, 0) + 1, least(cut, {TAIL}))").alias("head"), F.expr("substring(text, cut + 1, 3)").alias("next"), F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id").limit(sample).collect()
+        .collect()
     )
+    rows = sorted(rows, key=lambda r: (r.h, r.doc_id))[:sample]
     x, y = [], []
     for k, r in enumerate(rows):
         own = limits.get(r.source or "", ())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.glyphs import look_alike_pairs
-from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources
+from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources, near_duplicates
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,15 @@ stretches AS (SELECT item_kind, item_id, max_chars, CASE WHEN rows IS NULL THEN
 SELECT DISTINCT item_kind, item_id, CASE WHEN list_max(sizes) > max_chars THEN 'forced' ELSE 'boundary' END AS cut FROM stretches"""
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_pairs(table(spark, d, "chunks"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The class of near-duplicates every chunk is in, and its number of links."""
+    return near_duplicates.groups(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -126,6 +135,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_detect.rates(_scored(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found,
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql}
