@@ -70,7 +70,7 @@ def features(tail: str, size: int, limits: tuple[int, ...]) -> list[str]:
         f"runs {runs[:24]}" if whole else "long", f"runs end {runs[-8:]} {prose}", f"label {label.group(0)[:12]}" if label else "no label", f"labelled {bool(label)} {bool(ends)} {_kind(text[-1:])}", f"start {last[:2]}" if whole else "mid",
         f"prose {prose} {_kind(text[-1:])}", f"line {_bucket(len(last))} {bool(ends)}", f"rest {_bucket(len(rest))}", f"rest {min(_bucket(len(rest)), 20)} {prose}", f"commas {min(3, len(re.findall('[，,;；]', rest)))} {prose}", f"before {before[-1:] in TERMINAL} {prose} {own}",
         f"item {own} {bool(re.match(r'[·•●◆■|*-]|.{0,3}[)）.、]', before))}", f"open {rest.count('（') + rest.count('(') > rest.count('）') + rest.count(')')}", f"near {min(near, 4)}", f"near {near == 0} {text[-1:] in TERMINAL}", f"at limit {near == 0} prose {prose} {_kind(text[-1:])}", f"round {size % 100 == 0 or size % 256 == 0}",
-        f"digits {min(4, sum(c.isdigit() for c in rest[-30:]) // 4)} {prose}", f"words {min(6, len(rest.split()))} {prose} {_kind(text[-1:])}", f"lines {min(3, len(lines))} {prose}", f"blank {tail[len(text):].count(chr(10)) > 0} {tail[-1:] == ' '}",
+        f"number {_bucket(min(len(text) - len(text.rstrip('0123456789')), 40))} {whole or prose}", f"digits {min(4, sum(c.isdigit() for c in rest[-30:]) // 4)} {prose}", f"words {min(6, len(rest.split()))} {prose} {_kind(text[-1:])}", f"lines {min(3, len(lines))} {prose}", f"blank {tail[len(text):].count(chr(10)) > 0} {tail[-1:] == ' '}",
     ]
 
 

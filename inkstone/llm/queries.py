@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.glyphs import look_alike_pairs
-from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources, near_duplicates
+from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources, near_duplicates, quality_stats
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,16 @@ terms AS (SELECT term_id, term, {_sql_looks("term")} AS look FROM glossary_terms
 SELECT DISTINCT item_kind, item_id, term_id FROM looks JOIN terms USING (look) WHERE trim(text, ' ') <> term"""
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality_stats.not_prose(table(spark, d, "chunks"), table(spark, d, "chunk_labels"))
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every statistic of every chunk with its percentile and robust z-score, and the kind that follows."""
+    stats = quality_stats.described(table(spark, d, "chunks"))
+    return quality_stats.kinds(stats, table(spark, d, "chunk_labels"), with_scores=True)
+
+
 def _split(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     things = bisect_split.items(table(spark, d, "parsed_pages"), table(spark, d, "structured_tables"))
     return bisect_split.split_items(things, table(spark, d, "split_limits"), with_text)
@@ -135,6 +145,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_detect.rates(_scored(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found,
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql}
