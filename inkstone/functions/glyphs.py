@@ -6,6 +6,9 @@ import sys
 import unicodedata
 from functools import cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Letters of other alphabets drawn like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаесіјорѕухһԁԛԝ", "ABESIJKMHOPCTYXaecijopsyxhdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
@@ -64,3 +67,20 @@ def _fold_table() -> dict[int, str]:
 def fold(text: str | None) -> str | None:
     """One fixed form of a short label, so that labels which look the same compare equal. None stays None."""
     return None if text is None else unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_fold_table()))
+
+
+@cache
+def _translation() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    one = {a: b for a, b in ((chr(k), v) for k, v in _fold_table().items()) if len(b) == 1}
+    drop = [chr(k) for k, v in _fold_table().items() if v == ""]
+    more = tuple((chr(k), v) for k, v in _fold_table().items() if len(v) > 1 and v.isascii())
+    return "".join(one) + "".join(drop), "".join(one.values()), more
+
+
+def fold_column(column: Column) -> Column:
+    """fold() inside the JVM, but for letters with accents, which stay as they are."""
+    old, new, more = _translation()
+    out = F.translate(column, old, new)
+    for a, b in more:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
