@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkstone.functions.glyphs import fold, fold_column
-from inkstone.session import materialize
+from inkstone.session import fence, materialize
 
 # Units and how they are written, with their size in the measure's common unit
 # (yuan, one, tonne, kilowatt, kilowatt hour, square metre).
@@ -140,12 +140,12 @@ def body_cells(tables: DataFrame) -> DataFrame:
     body = F.filter("cells", lambda c: (c.col > 0) & (c.row > 0) & c.text.isNotNull())
     first = lambda found: F.try_element_at(found, F.lit(1)).text
     rows = tables.where("table_id is not null").select("table_id", "doc_id", "page", "caption", "parsed_at", head.alias("head"), side.alias("side"), body.alias("body"))
-    rows = rows.select("table_id", "doc_id", "page", "caption", "parsed_at", first(F.filter("head", lambda h: h.col == 0)).alias("corner"), "head", "side", F.explode("body").alias("c"))
+    rows = fence(rows).select("table_id", "doc_id", "page", "caption", "parsed_at", first(F.filter("head", lambda h: h.col == 0)).alias("corner"), "head", "side", F.explode("body").alias("c"))
     folded = lambda c: F.trim(fold_column(c))
-    return rows.select(
+    return fence(rows.select(
         "table_id", "doc_id", "page", "parsed_at", F.col("c.row").alias("row"), F.col("c.col").alias("col"), folded(F.col("c.text")).alias("text"),
         first(F.filter("side", lambda s: s.row == F.col("c.row"))).alias("label"), folded(first(F.filter("head", lambda h: h.col == F.col("c.col")))).alias("header"), folded(F.col("corner")).alias("corner"), folded(F.col("caption")).alias("caption"),
-    )
+    ))
 
 
 def _stated(column: Column) -> Column:
@@ -214,7 +214,7 @@ def alias_dictionaries(cells: DataFrame, terms: DataFrame) -> tuple[DataFrame, D
 
 def figures(tables: DataFrame, terms: DataFrame) -> DataFrame:
     """Every figure of a measured term in the common unit: (doc_id, page, table_id, cell_id, term_id, measure, year, number, value)."""
-    cells = parsed(body_cells(tables))
+    cells = materialize(parsed(body_cells(tables)))  # read for both dictionaries and the join
     units, labels = alias_dictionaries(cells, terms)
     units, labels = _checked(units), _checked(labels)
     out = cells.join(labels, "label")

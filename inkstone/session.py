@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,6 +44,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """df as it is, but no column is computed again where it is used: the optimizer does not merge projections across a generator.
+
+    Array functions need this, as a column that a lambda refers to would be computed for every element.
+    """
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, which may not have it on their path."""
     sc = spark.sparkContext
