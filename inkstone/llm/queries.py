@@ -82,9 +82,9 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sql() -> str:
-    closers = bisect_split.CLOSERS.replace("'", "''").replace("]", "\\]")
+    closers = bisect_split.CLOSERS.replace("'", "''").replace("]", r"\]")
     mark = "chr(1)"
-    broken = f"""regexp_replace(regexp_replace(regexp_replace(text, '(\n\s*\n)', {mark} || '\1' || {mark}, 'g'), '([。！？][{closers}]*)', '\1' || {mark}, 'g'), '([.!?][{closers}]*)(\s|{chr(1)})', '\1' || {mark} || '\2', 'g')"""
+    broken = rf"""regexp_replace(regexp_replace(regexp_replace(text, '(\n\s*\n)', {mark} || '\1' || {mark}, 'g'), '([。！？][{closers}]*)', '\1' || {mark}, 'g'), '([.!?][{closers}]*)(\s|{chr(1)})', '\1' || {mark} || '\2', 'g')"""
     return f"""
 WITH things AS (
   SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text, NULL AS rows FROM (SELECT unnest(sections) AS s FROM parsed_pages)
