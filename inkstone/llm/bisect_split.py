@@ -121,7 +121,7 @@ def items(pages: DataFrame, tables: DataFrame) -> DataFrame:
 def split_items(things: DataFrame, limits: DataFrame, with_text: bool = True) -> DataFrame:
     """The pieces of all oversized items. limits (item_kind, max_chars, overlap_chars) has a row per kind, so it is broadcast."""
     over = (
-        things.join(F.broadcast(limits.where("max_chars is not null").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))), "item_kind")
+        things.select("item_kind", "item_id", "text", "row_ends", "at").join(F.broadcast(limits.where("max_chars is not null").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))), "item_kind")
         .where((F.length("text") > F.col("max_chars")) & F.col("item_id").isNotNull())
         .groupBy("item_kind", "item_id").agg(F.max_by(F.struct("text", "row_ends", "max_chars", "overlap_chars"), F.struct("at", "text")).alias("x"))
         .select("item_kind", "item_id", "x.*")

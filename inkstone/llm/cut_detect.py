@@ -3,8 +3,8 @@
 Method: intact texts (those with a sentence end at their end) are cut artificially, at their source's limit
 or elsewhere inside a sentence, which gives the positives; the values as they are give the negatives. A
 logistic regression on hashed features of the closing characters, the closing line, its punctuation and the
-length's distance to limits is trained on them, trained again without the negatives it takes for cut, and
-scores every record.
+length's distance to limits is trained on them, trained again (twice) without the negatives it takes for cut,
+and scores every record.
 
 A source's limits are the lengths that far more of its values have than neighbouring lengths: they are
 counted over all documents. Training takes the documents
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Documents the model is trained on, about and at most.
 SAMPLE = 10_000
+#: Values as they are that score at least this are left out when the model is trained again.
+DOUBT = 0.35
 TAIL = 240
 BITS = 18
 TERMINAL = "。！？.!?．"
@@ -63,14 +65,15 @@ def features(tail: str, size: int, limits: tuple[int, ...]) -> list[str]:
     label = re.match(r"[^：:，,。]{1,16}[：:]", last) if whole else None
     near = min((abs(size - x) for x in limits), default=99)
     own = re.match(r"\W?\w{0,3}[)）.、]|[·•●◆■\-*|]", last) is not None
-    prose = bool(ends) or len(last) > 60 or "，" in last or not whole
+    number = len(text) - len(text.rstrip("0123456789"))
+    prose = number < 12 and (bool(ends) or len(last) > 60 or "，" in last or not whole)  # no sentence has so long a number
     tail_shape = "".join(map(_kind, rest[-4:]))
     return [
         "bias", f"c1 {text[-1:]}" if not text[-1:].isalnum() else f"k1 {_kind(text[-1:])}", f"s4 {tail_shape}", f"c2 {text[-2:]}", f"c3 {text[-3:]}", f"terminal {text[-1:] in TERMINAL} {text.rstrip(CLOSE)[-1:] in TERMINAL}",
         f"runs {runs[:24]}" if whole else "long", f"runs end {runs[-8:]} {prose}", f"label {label.group(0)[:12]}" if label else "no label", f"labelled {bool(label)} {bool(ends)} {_kind(text[-1:])}", f"start {last[:2]}" if whole else "mid",
         f"prose {prose} {_kind(text[-1:])}", f"line {_bucket(len(last))} {bool(ends)}", f"rest {_bucket(len(rest))}", f"rest {min(_bucket(len(rest)), 20)} {prose}", f"commas {min(3, len(re.findall('[，,;；]', rest)))} {prose}", f"before {before[-1:] in TERMINAL} {prose} {own}",
         f"item {own} {bool(re.match(r'[·•●◆■|*-]|.{0,3}[)）.、]', before))}", f"open {rest.count('（') + rest.count('(') > rest.count('）') + rest.count(')')}", f"near {min(near, 4)}", f"near {near == 0} {text[-1:] in TERMINAL}", f"at limit {near == 0} prose {prose} {_kind(text[-1:])}", f"round {size % 100 == 0 or size % 256 == 0}",
-        f"number {_bucket(min(len(text) - len(text.rstrip('0123456789')), 40))} {whole or prose}", f"digits {min(4, sum(c.isdigit() for c in rest[-30:]) // 4)} {prose}", f"words {min(6, len(rest.split()))} {prose} {_kind(text[-1:])}", f"lines {min(3, len(lines))} {prose}", f"blank {tail[len(text):].count(chr(10)) > 0} {tail[-1:] == ' '}",
+        f"number {_bucket(min(number, 12))} {prose}", f"digits {min(4, sum(c.isdigit() for c in rest[-30:]) // 4)} {prose}", f"words {min(6, len(rest.split()))} {prose} {_kind(text[-1:])}", f"lines {min(3, len(lines))} {prose}", f"blank {tail[len(text):].count(chr(10)) > 0} {tail[-1:] == ' '}",
     ]
 
 
@@ -151,12 +154,13 @@ def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], sample: in
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, tuple[int, ...]]]:
+    documents = documents.select("doc_id", "source", "text")
     limits = length_limits(documents)
     x, y = _sample(documents, limits, sample)
     w = train(x, y)
-    if len(x) and y.any():
-        sure = [k for k in range(len(x)) if y[k] or score(w, x[k]) < 0.5]
-        w = train([x[k] for k in sure], y[sure], seed=2)
+    for turn in range(2 if len(x) and y.any() else 0):
+        sure = [k for k in range(len(x)) if y[k] or score(w, x[k]) < DOUBT]
+        w = train([x[k] for k in sure], y[sure], seed=2 + turn)
     return w, limits
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstone.functions.glyphs import HANGUL, look_alike_pairs
+from inkstone.llm.batches import slices
 
 CODES = 0x110000
 JAMO = re.compile("[ᄀ-ᇿ]")
@@ -132,10 +133,11 @@ class Rewriter:
             return texts.cast(pa.string())
         values = texts.to_pylist()
         plain = [v or "" for v in values]
-        codes, starts, sizes = _codes(plain)
-        hits = np.concatenate(([0], np.cumsum(self.trigger[codes])))
-        for k in np.nonzero(hits[starts + sizes] > hits[starts])[0]:
-            values[k] = self.rewrite(values[k])
+        for a, b in slices(plain):
+            codes, starts, sizes = _codes(plain[a:b])
+            hits = np.concatenate(([0], np.cumsum(self.trigger[codes])))
+            for k in np.nonzero(hits[starts + sizes] > hits[starts])[0]:
+                values[a + k] = self.rewrite(values[a + k])
         return pa.array(values, pa.string())
 
 
@@ -165,12 +167,14 @@ def member_counts(df: DataFrame, column: str, classes: list[tuple[str, ...]]) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, many = np.zeros(CODES, np.int64), dict.fromkeys((s for s, _ in longer), 0)
         for batch in batches:
-            joined = "\0".join(v for v in batch.column(0).to_pylist() if v)
-            here = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=CODES)
-            total += here
-            for s, rare in longer:
-                if here[rare] and all(here[ord(c)] for c in s):
-                    many[s] += joined.count(s)
+            texts = [v for v in batch.column(0).to_pylist() if v]
+            for a, b in slices(texts):
+                joined = "\0".join(texts[a:b])
+                here = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=CODES)
+                total += here
+                for s, rare in longer:
+                    if here[rare] and all(here[ord(c)] for c in s):
+                        many[s] += joined.count(s)
         out = [(chr(c), int(total[c])) for c in np.nonzero(total)[0] if int(c) in singles] + [x for x in many.items() if x[1]]
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["member", "n"])
 
@@ -211,7 +215,7 @@ def disguised_terms(items: DataFrame, terms: DataFrame, rewriter: Rewriter) -> D
     Null texts and ids give no row; an item delivered twice gives one.
     """
     looks = unify(terms.where("term is not null").select("term_id", "term"), "term", rewriter, "looks").select("term_id", "term", F.trim("looks").alias("looks"))
-    unified = unify(items.where("text is not null and item_id is not null"), "text", rewriter, "looks").withColumn("looks", F.trim("looks"))
+    unified = unify(items.where("text is not null and item_id is not null").select("item_kind", "item_id", "text"), "text", rewriter, "looks").withColumn("looks", F.trim("looks"))
     return (  # the terms are a fixed list, so they may be broadcast
         unified.join(F.broadcast(looks), "looks").where(F.trim("text") != F.col("term")).select("item_kind", "item_id", "term_id").distinct()
     )

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstone.llm.batches import slices
 from inkstone.session import materialize
 
 KINDS = ("prose", "list", "table", "junk")
@@ -104,10 +105,8 @@ def word_counts(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.zeros(2 + 2 * BUCKETS + 0x110000, np.int64)
-        for batch in batches:
-            b = _Batch([t for t in batch.column(0).to_pylist() if t])
-            if not b.n:
-                continue
+        every = ([t for t in batch.column(0).to_pylist() if t] for batch in batches)
+        for b in (_Batch(texts[x:y]) for texts in every for x, y in slices(texts)):
             many[:2] += np.array([b.zh.sum(), (~b.zh).sum()])
             row, word = b.words()
             once = _distinct(row * BUCKETS + word)
@@ -198,8 +197,10 @@ def described(chunks: DataFrame) -> DataFrame:
             blank = [not t or not t.strip() for t in texts]
             values = np.zeros((len(texts), len(STATS)), np.float32)
             zh = np.zeros(len(texts), bool)
-            if some := [k for k, x in enumerate(blank) if not x]:
-                values[some], zh[some] = statistics([texts[k] for k in some], frequent, seldom)
+            some = [k for k, x in enumerate(blank) if not x]
+            full = [texts[k] for k in some]
+            for x, y in slices(full):
+                values[some[x:y]], zh[some[x:y]] = statistics(full[x:y], frequent, seldom)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blank), pa.array(np.where(zh, *LANGUAGES)), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], schema.names)
 
     return materialize(chunks.where("chunk_id is not null").select("chunk_id", "chunk_type", "text").mapInArrow(run, schema))
