@@ -96,12 +96,15 @@ def structured(tables: DataFrame) -> DataFrame:
 
 
 def spans(tables: DataFrame) -> DataFrame:
-    """(table_id, row, col, row_span, col_span): over how many rows' and columns' middles a cell with a bbox reaches, at least 1."""
+    """(table_id, row, col, row_span, col_span): over how many rows' and columns' middles a cell with a bbox reaches, at least 1.
+
+    A row or column is as wide as what its cells have in common, so cells over several do not widen it.
+    """
     boxed = F.transform(F.filter("cells", lambda c: F.size(c.bbox) == 4), lambda c: F.struct(c.row.alias("row"), c.col.alias("col"), round_bbox(c.bbox).alias("bbox")))
 
     def bands(key: str, lo: int, hi: int) -> Column:
         numbers = F.array_distinct(F.transform("b", lambda c: c[key]))
-        return F.transform(numbers, lambda n: F.struct(F.array_min(F.transform(F.filter("b", lambda c: c[key] == n), lambda c: c.bbox[lo])).alias("a"), F.array_max(F.transform(F.filter("b", lambda c: c[key] == n), lambda c: c.bbox[hi])).alias("z")))
+        return F.transform(numbers, lambda n: F.struct(F.array_max(F.transform(F.filter("b", lambda c: c[key] == n), lambda c: c.bbox[lo])).alias("a"), F.array_min(F.transform(F.filter("b", lambda c: c[key] == n), lambda c: c.bbox[hi])).alias("z")))
 
     out = fence(fence(tables.select("table_id", boxed.alias("b"))).select("table_id", "b", bands("row", 1, 3).alias("by_row"), bands("col", 0, 2).alias("by_col"))).select("table_id", "by_row", "by_col", F.explode("b").alias("c"))
     reach = lambda name, lo, hi: F.greatest(F.lit(1), F.size(F.filter(name, lambda x: center_inside(x.a, x.z, F.col("c.bbox")[lo], F.col("c.bbox")[hi]))))

@@ -44,7 +44,7 @@ NUMBER = r"^\s*(\()?\s*([-+])?\s*(RMB|CNY|¥)?\s*([-+])?(\d{1,3}(?:,\d{3})+(?:\.
 
 
 def weighted_distance(a: str, b: str, most: float = 3.0) -> float:
-    """Edit distance: 0.1 for a blank or mark, 0.3 for case, 3 for a character that changes the scale, else 1."""
+    """Edit distance: 0.1 for a blank or mark, 0.15 for case, 3 for a character that changes the scale, else 1."""
     cost = lambda c: 0.1 if not c.isalnum() and c not in SCALE else 3.0 if c in SCALE else 1.0
     row = [0.0]
     for c in b:
@@ -52,7 +52,7 @@ def weighted_distance(a: str, b: str, most: float = 3.0) -> float:
     for x in a:
         new = [row[0] + cost(x)]
         for k, y in enumerate(b):
-            swap = 0.0 if x == y else 0.3 if x.casefold() == y.casefold() else max(cost(x), cost(y))
+            swap = 0.0 if x == y else 0.15 if x.casefold() == y.casefold() else max(cost(x), cost(y))
             new.append(min(row[k] + swap, row[k + 1] + cost(x), new[-1] + cost(y)))
         if min(new) > most:
             return min(new)

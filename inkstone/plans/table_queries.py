@@ -87,7 +87,7 @@ def _html_sql() -> str:
 
 
 _SPANS = f"""WITH t AS {S.TABLES}, c AS (SELECT table_id, c.row AS row, c.col AS col, list_transform(c.bbox, lambda v: round(v, 2)) AS b FROM (SELECT table_id, unnest(cells) AS c FROM t) WHERE len(c.bbox) = 4),
-r AS (SELECT table_id, row, min(b[2]) AS a, max(b[4]) AS z FROM c GROUP BY ALL), k AS (SELECT table_id, col, min(b[1]) AS a, max(b[3]) AS z FROM c GROUP BY ALL)
+r AS (SELECT table_id, row, max(b[2]) AS a, min(b[4]) AS z FROM c GROUP BY ALL), k AS (SELECT table_id, col, max(b[1]) AS a, min(b[3]) AS z FROM c GROUP BY ALL)
 SELECT c.table_id, c.row, c.col, greatest(1, (SELECT count(*) FROM r WHERE r.table_id = c.table_id AND (r.a + r.z) / 2 BETWEEN c.b[2] - 1 AND c.b[4] + 1))::INT AS row_span, greatest(1, (SELECT count(*) FROM k WHERE k.table_id = c.table_id AND (k.a + k.z) / 2 BETWEEN c.b[1] - 1 AND c.b[3] + 1))::INT AS col_span FROM c"""
 
 _CELL_BOXES = f"""WITH t AS {S.TABLES}, c AS (SELECT table_id, doc_id, page, c.row AS row, c.col AS col, c.text AS text, c.bbox AS b FROM (SELECT table_id, doc_id, page, unnest(cells) AS c FROM t) WHERE len(c.bbox) = 4), x AS (SELECT * FROM {S.BOXES} WHERE text IS NOT NULL),
