@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+from inkstone.functions.glyphs import look_alike_pairs
+
 BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -33,3 +38,38 @@ BOXES = latest("text_boxes", "box_id", "loaded_at")
 def windows(text: str, size: int | str, overlap: int | str) -> str:
     """A list of the non-empty windows of a normalized text."""
     return f"list_filter(list_transform(generate_series(0, greatest(length({text}) - ({overlap}) - 1, 0), ({size}) - ({overlap})), lambda s: {strip(f'substring({text}, (s + 1)::BIGINT, ({size})::BIGINT)')}), lambda p: length(p) > 0)"
+
+
+def text(s: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def looks(c: str) -> str:
+    """What a text looks like, by fixed representatives: look-alikes replaced, invisible characters gone, marks composed."""
+    drop, one, more = [], {}, []
+    for a, b in look_alike_pairs():
+        if b == "":
+            drop.append(a)
+        elif len(a) == 1 and len(b) == 1:
+            one[a] = b
+        elif len(a) == 1 and all(x.isascii() for x in b):
+            more.append((a, b))
+    for a, b in more:
+        c = f"replace({c}, {text(a)}, {text(b)})"
+    return f"nfc_normalize(translate({c}, {text(''.join(one) + ''.join(drop))}, {text(''.join(one.values()))}))"
+
+
+@cache
+def _compatible() -> tuple[str, str]:
+    pairs = {}
+    for cp in range(0x80, 0x30000):
+        n = unicodedata.normalize("NFKC", chr(cp)).casefold()
+        if len(n) == 1 and n != chr(cp) and not unicodedata.combining(chr(cp)):
+            pairs[chr(cp)] = n
+    return "".join(pairs), "".join(pairs.values())
+
+
+def skeleton(c: str) -> str:
+    """Letters and digits of a text, compatibility forms and case aside (characters that become several are left as they are)."""
+    return f"regexp_replace(lower(translate(nfc_normalize({c}), {text(_compatible()[0])}, {text(_compatible()[1])})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
