@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.glyphs import look_alike_pairs
 from inkstone.llm import bisect_split, cut_detect, glyph_unify, leak_search, mix_sources, near_duplicates, quality_stats
+from inkstone.plans import sql as S
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,35 +25,14 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return glyph_unify.unify(items, "text", glyph_unify.corpus_rewriter(items))
 
 
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _sql_looks(column: str) -> str:
-    """The look of a text in SQL, by fixed representatives instead of frequent ones."""
-    drop, one, more = [], {}, []
-    for a, b in look_alike_pairs():
-        if b == "":
-            drop.append(a)
-        elif len(a) == 1 and len(b) == 1:
-            one[a] = b
-        elif len(a) == 1 and all(c.isascii() for c in b):
-            more.append((a, b))
-    out = column
-    for a, b in more:
-        out = f"replace({out}, {_sql_text(a)}, {_sql_text(b)})"
-    cases = "".join(one) + "".join(drop)
-    return f"trim(nfc_normalize(translate({out}, {_sql_text(cases)}, {_sql_text(''.join(one.values()))})), ' ')"
-
-
 def p1_sql() -> str:
     return f"""
 WITH items AS (
   SELECT 'box' AS item_kind, box_id AS item_id, text FROM text_boxes
   UNION ALL
   SELECT 'cell', table_id || '-r' || c.row || 'c' || c.col, c.text FROM (SELECT table_id, unnest(cells) AS c FROM structured_tables)
-), looks AS (SELECT *, {_sql_looks("text")} AS look FROM items WHERE text IS NOT NULL AND item_id IS NOT NULL),
-terms AS (SELECT term_id, term, {_sql_looks("term")} AS look FROM glossary_terms WHERE term IS NOT NULL)
+), looks AS (SELECT *, trim({S.looks("text")}, ' ') AS look FROM items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+terms AS (SELECT term_id, term, trim({S.looks("term")}, ' ') AS look FROM glossary_terms WHERE term IS NOT NULL)
 SELECT DISTINCT item_kind, item_id, term_id FROM looks JOIN terms USING (look) WHERE trim(text, ' ') <> term"""
 
 
@@ -109,6 +88,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p6_sql() -> str:
+    """Every stretch of half an answer, and every query, looked for in every document."""
+    return f"""
+WITH d AS (SELECT doc_id, {S.skeleton("text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, {S.skeleton("coalesce(query, '')")} AS q, {S.skeleton("coalesce(answer, '')")} AS a FROM eval_items WHERE item_id IS NOT NULL),
+w AS (SELECT item_id, substring(a, k, (length(a) + 1) // 2) AS p FROM (SELECT item_id, a, unnest(generate_series(1, length(a) - (length(a) + 1) // 2 + 1)) AS k FROM i WHERE a <> '') UNION SELECT item_id, q FROM i WHERE q <> '')
+SELECT DISTINCT doc_id, item_id FROM d JOIN w ON contains(d.t, w.p)"""
+
+
 def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     sized = mix_sources.sized_documents(table(spark, d, "documents"))
     targets, budget = table(spark, d, "mix_targets"), mix_sources.budget_of(sized)
@@ -147,4 +135,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql}
+SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql, "p6_found": p6_sql}
