@@ -170,14 +170,22 @@ def tokens(c: Column) -> Column:
     return F.concat(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)), pairs)
 
 
+def token_count(c: Column) -> Column:
+    """The number of tokens(c), without making them."""
+    c = F.lower(F.coalesce(c, F.lit("")))
+    runs = F.regexp_extract_all(c, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))
+    return F.size(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))) + F.aggregate(runs, F.lit(0), lambda n, r: n + F.greatest(F.length(r) - 1, F.lit(1)))
+
+
 def bm25_topk(rows: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, term_bound: int = 1_000_000) -> DataFrame:
     """(query_id, rank, id, score): Okapi BM25. rows: id, text; queries: query_id, query.
 
     Only postings of the queries' terms are counted and shuffled; the terms are broadcast up to `term_bound`.
     """
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    sized = rows.where("id is not null").select("id", tokens(F.col("text")).alias("words")).select("id", "words", F.size("words").alias("length"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    usable = rows.where("id is not null")
+    sized = usable.select("id", tokens(F.col("text")).alias("words")).select("id", "words", F.size("words").alias("length"))
+    total = usable.agg(F.count("*").alias("n"), F.avg(token_count(F.col("text"))).alias("mean")).first()
     terms = asked.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= term_bound else terms
     postings = sized.select("id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -31,15 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     if found := spark.conf.get("spark.checkpoint.dir", None):
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(found)
-        return found
+        return found.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"inkstone-{uuid.uuid4().hex}"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    sc = spark.sparkContext
+    if not (path := getattr(sc, "_inkstone_dir", None)):
+        sc._inkstone_dir = path = f"{shared_dir(spark)}/inkstone-{sc.applicationId}"
+
+        def remove() -> None:
+            try:
+                place = sc._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            except Exception:  # noqa: BLE001 - the session may have ended before
+                pass
+
+        atexit.register(remove)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/inkstone-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,15 +76,17 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_inkstone_shipped", False):
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="inkstone-"), "inkstone.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, files in os.walk(root):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)  # the driver serves it, so its own folder will do
+    root, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for folder, _, names in os.walk(root):
+            for full in (os.path.join(folder, n) for n in names if n.endswith(".py")):
+                out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{own_dir(spark)}/package/inkstone.zip"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    sc.addPyFile(path)
     sc._inkstone_shipped = True
 
 

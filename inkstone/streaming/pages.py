@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone.operators import chunking
-from inkstone.session import shared_dir
+from inkstone.session import own_dir
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -30,5 +30,5 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 
 def chunked_once(spark: SparkSession, path: str, name: str) -> DataFrame:
-    at = f"{shared_dir(spark).rstrip('/')}/{name}"
+    at = f"{own_dir(spark)}/{name}"
     return run_once(chunk_stream(page_stream(spark, path)), f"{at}/out", f"{at}/state")
