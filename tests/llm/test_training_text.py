@@ -224,6 +224,17 @@ def test_hot_block_is_dealt_into_cells(spark):
     assert small == large and len(small) == len(texts) * (len(texts) - 1) // 2
 
 
+def test_many_copies(spark):
+    rng = random.Random(6)
+    base = prose(300, rng)
+    other = _edited(base, rng, 2)
+    n = ND.COPIES + 20
+    chunks = spark.createDataFrame([(f"k{k:04d}", base) for k in range(n)] + [("z1", other), ("z2", other)], "chunk_id string, text string")
+    pairs = {tuple(r) for r in ND.duplicate_pairs(chunks).collect()}
+    assert pairs == {("k0000", f"k{k:04d}") for k in range(1, n)} | {("k0000", "z1"), ("k0000", "z2"), ("z1", "z2")}
+    assert {r.class_id for r in ND.groups(chunks).collect()} == {"k0000"}
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.label for r in ND.components(chain).collect()} == {0, 100}
