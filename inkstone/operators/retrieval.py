@@ -139,25 +139,61 @@ def ivf_index(rows: DataFrame, cells: int = 16, sample: int = 50_000, seed: int
     return usable.select("id", "embedding").mapInArrow(run, "id bigint, embedding array<float>, cell int"), centres
 
 
+def _radii(index: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The largest distance of a row of each cell from the cell's centre. A row per cell reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros(len(centres))
+        for batch in batches:
+            cell = batch.column(2).to_numpy(zero_copy_only=False)
+            v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(len(cell), -1).astype(float)
+            if len(cell):
+                np.maximum.at(most, cell, np.sqrt(((v - centres[cell]) ** 2).sum(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(most)], ["cell", "radius"])
+
+    found = index.mapInArrow(run, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect()
+    out = np.zeros(len(centres))
+    for r in found:
+        out[r.cell] = r.radius
+    return out
+
+
+def _in_cells(index: DataFrame, names: np.ndarray, matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
+    """(query_id, id, score): the k best rows of every batch, of the cells wanted (queries x cells) by each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cell = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
+            rows: list[tuple] = []
+            for c in np.unique(cell):
+                mine, asking = np.nonzero(cell == c)[0], np.nonzero(wanted[:, c])[0]
+                for q, scores in zip(asking, matrix[asking] @ v[mine].T):
+                    rows += ((int(names[q]), int(ids[mine[x]]), float(scores[x])) for x in _best(ids[mine], scores, k))
+            yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+    return index.mapInArrow(run, "query_id bigint, id bigint, score double")
+
+
 def ivf_topk(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 5, probes: int = 8, block: int = 2_000) -> DataFrame:
-    """vector_topk that looks at the `probes` cells nearest to each query only."""
-    out = None
+    """vector_topk by cells: the `probes` cells nearest to each query give a k-th score, then every cell that may hold a better row is looked at.
+
+    No row of a cell scores above query x centre + length of query x radius of cell, so the result is exact.
+    """
+    out, radii = None, None
     for part in batched((tuple(r) for r in queries.where("size(embedding) > 0").select("query_id", "embedding").orderBy("query_id").toLocalIterator()), block):
         names, matrix = np.array([p[0] for p in part]), np.array([p[1] for p in part], float)
-        near = np.argsort(-(matrix @ centres.T), axis=1)[:, :probes]
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, near=near) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, cell = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-                v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
-                rows: list[tuple] = []
-                for c in np.unique(cell):
-                    mine, asking = np.nonzero(cell == c)[0], np.nonzero((near == c).any(1))[0]
-                    for q, scores in zip(asking, matrix[asking] @ v[mine].T):
-                        rows += ((int(names[q]), int(ids[mine[x]]), float(scores[x])) for x in _best(ids[mine], scores, k))
-                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
-
-        found = index.mapInArrow(run, "query_id bigint, id bigint, score double")
+        radii = _radii(index, centres) if radii is None else radii
+        near = matrix @ centres.T
+        wanted = np.zeros(near.shape, bool)
+        np.put_along_axis(wanted, np.argsort(-near, axis=1)[:, :probes], True, axis=1)
+        first = ranked(_in_cells(index, names, matrix, wanted, k), k).where(F.col("rank") == k).select("query_id", "score").collect()  # a row per query of the block
+        kth = {r.query_id: r.score for r in first}
+        edge = np.array([kth.get(int(n), -np.inf) for n in names])[:, None]  # fewer than k rows: all cells
+        length = np.linalg.norm(matrix, axis=1)[:, None]
+        slack = 1e-9 * length * (np.linalg.norm(centres, axis=1) + radii)  # of rounding
+        wanted |= ~(near + length * radii + slack < edge)
+        found = _in_cells(index, names, matrix, wanted, k)
         out = found if out is None else out.unionByName(found)
     return ranked(out, k)
 

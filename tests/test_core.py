@@ -314,6 +314,19 @@ def test_vector_search_against_brute_force(spark):
     assert index.count() == 300 and len(some & {(q, i) for (q, _), i in got.items()}) / len(got) >= 0.9
 
 
+def test_clustered_search_is_exact_as_registered(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 32)).astype(np.float32)
+    v[:200] += rng.normal(size=(4, 32)).astype(np.float32).repeat(50, 0) * 6
+    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(600)], "id bigint, embedding array<float>")
+    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index, centres = retrieval.ivf_index(rows)
+    got = {(r.query_id, r.rank): r.id for r in retrieval.ivf_topk(index, centres, asked, 5).collect()}
+    for q in range(0, 600, 10):
+        scores = v.astype(float) @ v[q].astype(float)
+        assert [got[q, k] for k in range(1, 6)] == sorted(range(600), key=lambda i: (-scores[i], i))[:5]
+
+
 def test_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
     assert [r.x for r in df.select(l2_normalize(F.col("v")).alias("x")).collect()] == [[0.0, 0.0], [0.6, 0.8]]
