@@ -214,6 +214,14 @@ def quantiles(stats: DataFrame) -> dict[str, np.ndarray]:
     return {r.language: np.array([list(r[s]) for s in STATS], float) for r in rows}
 
 
+def percentiles(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Ranks of values by the quantiles at GRID: between two quantiles in a straight line, of a value that several have the middle; beyond the ends half of what is left."""
+    grid = np.array(GRID)
+    lo, hi = np.searchsorted(q, v, "left"), np.searchsorted(q, v, "right")
+    between = np.interp(v, q, grid, left=grid[0] / 2, right=(1 + grid[-1]) / 2)
+    return np.where(hi > lo, (grid[np.minimum(lo, len(grid) - 1)] + grid[np.maximum(hi - 1, 0)]) / 2, between)
+
+
 def scores(values: np.ndarray, language: np.ndarray, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Percentiles and robust z-scores of rows of statistics."""
     percent, z = np.full(values.shape, 0.5), np.zeros(values.shape)
@@ -224,21 +232,27 @@ def scores(values: np.ndarray, language: np.ndarray, known: dict[str, np.ndarray
             continue
         for k in range(values.shape[1]):
             v = values[at, k].astype(float)
-            lo, hi = np.searchsorted(q[k], v, "left"), np.searchsorted(q[k], v, "right")
-            percent[at, k] = (lo + hi) / (2 * len(GRID))
+            percent[at, k] = percentiles(v, q[k])
             scale = (q[k, high] - q[k, low]) / 1.349
             if scale <= 0:
                 scale = (q[k, -4] - q[k, 3]) / 3.29
             if scale <= 0:
                 scale = max(abs(q[k, middle]) / 4, (q[k, -1] - q[k, 0]) / 4, 0.01)
             z[at, k] = (v - q[k, middle]) / scale
-    return percent, np.clip(z, -30, 30)
+    return percent, z
+
+
+def tails(percent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in the low, and in the high, tail of 2.5 %."""
+    return percent < 0.025, percent > 0.975
 
 
 def design(percent: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Scores and tail flags as a matrix for the regression."""
+    low, high = tails(percent)
+    z = np.clip(z, -30, 30)
     soft = np.sign(z) * np.log1p(np.abs(z))
-    return np.concatenate([soft, np.clip(z, -3, 3) / 3, z > 3, z < -3, percent > 0.975, percent < 0.025, z > 8, np.ones((len(z), 1))], 1).astype(float)
+    return np.concatenate([soft, np.clip(z, -3, 3) / 3, z > 3, z < -3, high, low, z > 8, np.ones((len(z), 1))], 1).astype(float)
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 600, l2: float = 2e-3) -> np.ndarray:
@@ -263,12 +277,13 @@ def learn(stats: DataFrame, labels: DataFrame, known: dict[str, np.ndarray], mos
 
 
 def kinds(stats: DataFrame, labels: DataFrame, with_scores: bool = False) -> DataFrame:
-    """(chunk_id, chunk_type, kind), with percentiles and z-scores of each statistic if wanted."""
+    """(chunk_id, chunk_type, kind), with percentiles, z-scores and tail flags of each statistic if wanted."""
     known = quantiles(stats)
     w = learn(stats, labels, known)
-    more = [f"{s}_{x}" for s in STATS for x in ("percentile", "z")] if with_scores else []
+    each = {"percentile": T.FloatType(), "z": T.FloatType(), "low": T.BooleanType(), "high": T.BooleanType()}
+    more = [T.StructField(f"{s}_{x}", kind) for s in STATS for x, kind in each.items()] if with_scores else []
     keep = ["chunk_id", "chunk_type", *(["language", *STATS] if with_scores else [])]
-    schema = T.StructType([*(stats.schema[c] for c in keep), *(T.StructField(c, T.FloatType()) for c in more), T.StructField("kind", T.StringType())])
+    schema = T.StructType([*(stats.schema[c] for c in keep), *more, T.StructField("kind", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +291,8 @@ def kinds(stats: DataFrame, labels: DataFrame, with_scores: bool = False) -> Dat
             percent, z = scores(values, np.array(batch.column("language").to_pylist(), object), known)
             best = (design(percent, z) @ w).argmax(1) if w is not None else np.zeros(len(z), int)
             best = np.where(batch.column("blank").to_numpy(zero_copy_only=False), KINDS.index("junk"), best)
-            extra = [pa.array(np.ascontiguousarray(m[:, k]).astype(np.float32)) for k in range(len(STATS)) for m in (percent, z)] if with_scores else []
+            flags = tails(percent)
+            extra = [pa.array(np.ascontiguousarray(m[:, k])) for k in range(len(STATS)) for m in (percent.astype(np.float32), z.astype(np.float32), *flags)] if with_scores else []
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra, pa.array(np.array(KINDS, object)[best], pa.string())], schema.names)
 
     return stats.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Every statistic of every chunk with its percentile and robust z-score, and the kind that follows."""
+    """Every statistic of every chunk with its percentile, robust z-score and tail flags, and the kind that follows."""
     stats = quality_stats.described(table(spark, d, "chunks"))
     return quality_stats.kinds(stats, table(spark, d, "chunk_labels"), with_scores=True)
 

@@ -128,6 +128,29 @@ def test_scores_are_robust():
     assert np.allclose(z[0], 0) and (z[1] > 3).all() and (percent[1] > 0.97).all()
 
 
+def test_percentiles_and_tail_flags():
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.normal(size=20_000))
+    q = np.quantile(x, QS.GRID)
+    known = {"zh": np.tile(q, (len(QS.STATS), 1))}
+    percent, _ = QS.scores(np.tile(x[:, None], (1, len(QS.STATS))), np.full(len(x), "zh", object), known)
+    assert np.abs(percent[:, 0] - (np.arange(len(x)) + 0.5) / len(x)).max() < 0.01
+    low, high = QS.tails(percent)
+    assert abs(low[:, 0].mean() - 0.025) < 0.001 and abs(high[:, 0].mean() - 0.025) < 0.001
+    tied = np.zeros(len(QS.GRID))
+    tied[-2:] = 1, 2
+    assert np.allclose(QS.percentiles(np.array([-1.0, 0.0, 0.5, 1.0, 9.0]), tied), [0.0025, 0.49, 0.9825, 0.99, 0.9975])
+
+
+def test_statistics_have_tail_flags(spark):
+    rng = random.Random(5)
+    chunks = spark.createDataFrame([(f"c{k}", "text", prose(200 + k, rng)) for k in range(200)] + [("long", "text", prose(90_000, rng))], "chunk_id string, chunk_type string, text string")
+    marked = spark.createDataFrame([("c1", "prose"), ("c2", "list")], "chunk_id string, kind string")
+    rows = {r.chunk_id: r for r in QS.kinds(QS.described(chunks), marked, with_scores=True).collect()}
+    assert rows["long"].words_high and not rows["long"].words_low and rows["long"].words_z > 30
+    assert 2 <= sum(r.words_high for r in rows.values()) <= 8 and 2 <= sum(r.words_low for r in rows.values()) <= 8
+
+
 # --- 4: splitting
 
 
