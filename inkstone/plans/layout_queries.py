@@ -49,8 +49,8 @@ def layout_rows(spark, d):
 
 
 def layout_detected_tables(spark, d):
-    """Tables found in the boxes alone, as text."""
-    found = L.detected_tables(_boxes(spark, d), _tables(spark, d).limit(0))
+    """Tables without lines beside those already known, as text."""
+    found = L.detected_tables(_boxes(spark, d), _tables(spark, d))
     return T.structured(found).select("table_id", "doc_id", "page", "caption", F.col("text_").alias("text"))
 
 

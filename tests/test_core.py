@@ -13,6 +13,7 @@ from inkstone.functions import text as X
 from inkstone.functions.glyphs import fold
 from inkstone.functions.vectors import l2_normalize
 from inkstone.operators import catalog, chunking, layout, retrieval, tables, units
+from inkstone.plans import layout_queries
 from inkstone.sources import files
 from inkstone.streaming import pages as stream
 
@@ -206,6 +207,17 @@ def test_tables_without_lines(spark):
     assert layout.detected_tables(boxes(spark, rows), there).count() == 0
 
 
+def test_detected_tables_query_leaves_out_known_tables(spark, tmp_path):
+    grid = [["指标", "2022", "2023", "2024"], ["收入", "1,234", "5.6%", "7"], ["成本", "8", "(9)", "10"], ["利润", "1", "2", "3"]]
+    rows = [(p, t, 50.0 + 100 * c, 100.0 + 20 * r, 60.0, 10.0) for p in (1, 2) for r, line in enumerate(grid) for c, t in enumerate(line)]
+    boxes(spark, rows).withColumn("loaded_at", F.lit(1)).write.parquet(str(tmp_path / "text_boxes.parquet"))
+    known = spark.createDataFrame([("t", "d", 1, None, [40.0, 90.0, 500.0, 200.0], "s", None)], TAB)
+    known.withColumn("parsed_at", F.lit(1)).write.parquet(str(tmp_path / "structured_tables.parquet"))
+    assert [r.table_id for r in layout_queries.layout_detected_tables(spark, str(tmp_path)).collect()] == ["d-p002-layout-t001"]
+    known.withColumn("parsed_at", F.lit(1)).limit(0).write.mode("overwrite").parquet(str(tmp_path / "structured_tables.parquet"))
+    assert layout_queries.layout_detected_tables(spark, str(tmp_path)).count() == 2
+
+
 def slow_runs(rows):
     """Row by row, with the state in plain variables."""
     out, now, waited = [], [], False
