@@ -64,10 +64,11 @@ def with_tokens(df: DataFrame, column: str = "text", into: str = "tokens", token
 
 
 def sized_documents(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens), each document once, written to the shared folder."""
+    """(doc_id, source, tokens), each document once, and a row without id and source for all without an id; written to the shared folder."""
     sized = with_tokens(documents.select("doc_id", "source", "fetched_at", "text"), tokenizer=tokenizer)
-    latest = sized.groupBy("doc_id").agg(F.max_by(F.struct("source", "tokens"), F.struct("fetched_at", "tokens", "source")).alias("x"))
-    return materialize(latest.select("doc_id", "x.*"))
+    latest = sized.groupBy("doc_id").agg(F.max_by(F.struct("source", "tokens"), F.struct("fetched_at", "tokens", "source")).alias("x"), F.sum("tokens").alias("all"))
+    known = F.col("doc_id").isNotNull()
+    return materialize(latest.select("doc_id", F.when(known, F.col("x.source")).alias("source"), F.when(known, F.col("x.tokens")).otherwise(F.col("all")).alias("tokens")))
 
 
 def schedule(sized: DataFrame, targets: DataFrame, seed: int = 0, ranges: int = RANGES) -> DataFrame:

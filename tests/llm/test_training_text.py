@@ -1,5 +1,6 @@
 """The training-text operators on small cases: brute force, round trips, nulls, empty tables, repeated rows, clashing names."""
 
+import base64
 import random
 import re
 import unicodedata
@@ -301,6 +302,15 @@ def test_leaked(spark):
 # --- 7: mixture
 
 
+def test_documents_without_id_count_for_the_budget(spark, tmp_path):
+    ranks = tmp_path / "bytes"
+    ranks.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    rows = [(None, "x", 1, "abcd"), (None, "y", 2, "ef"), (None, None, 3, "abcd"), (1, "x", 1, "abc"), (1, "y", 2, "abcdef"), (2, "x", 1, None)]
+    sized = MX.sized_documents(spark.createDataFrame(rows, "doc_id bigint, source string, fetched_at int, text string"), str(ranks))
+    assert {tuple(r) for r in sized.collect()} == {(None, None, 10), (1, "y", 6), (2, "x", 0)}
+    assert MX.budget_of(sized) == 16
+
+
 def test_mixture(spark):
     rng = random.Random(1)
     sources = {"big": 300, "mid": 60, "tiny": 3}
