@@ -214,8 +214,9 @@ def disguised_terms(items: DataFrame, terms: DataFrame, rewriter: Rewriter) -> D
 
     Null texts and ids give no row; an item delivered twice gives one.
     """
-    looks = unify(terms.where("term is not null").select("term_id", "term"), "term", rewriter, "looks").select("term_id", "term", F.trim("looks").alias("looks"))
-    unified = unify(items.where("text is not null and item_id is not null").select("item_kind", "item_id", "text"), "text", rewriter, "looks").withColumn("looks", F.trim("looks"))
+    bare = lambda c: F.trim(c, F.lit(rewriter.rewrite(" ")))  # noqa: E731  all blanks that look alike are this one by now
+    looks = unify(terms.where("term is not null").select("term_id", "term"), "term", rewriter, "looks").select("term_id", "term", bare("looks").alias("looks"))
+    unified = unify(items.where("text is not null and item_id is not null").select("item_kind", "item_id", "text"), "text", rewriter, "looks").withColumn("looks", bare("looks"))
     return (  # the terms are a fixed list, so they may be broadcast
         unified.join(F.broadcast(looks), "looks").where(F.trim("text") != F.col("term")).select("item_kind", "item_id", "term_id").distinct()
     )

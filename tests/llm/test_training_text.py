@@ -76,6 +76,13 @@ def test_disguised_terms(spark):
     assert {r.text: r.looks for r in GU.unify(items, "text", rewriter, "looks").collect()}[None] is None
 
 
+@pytest.mark.parametrize("blank", ["\u3000", "\xa0", " "])
+def test_disguised_terms_whatever_blank_is_frequent(spark, blank):
+    items = spark.createDataFrame([("box", "b1", " ＲＯＩＣ "), ("box", "b2", " ROIC "), ("box", "b3", f"{blank}ＲＯＩＣ{blank}"), ("box", "pad", blank * 50 + "x"), ("box", "word", "ROIC" * 9)], "item_kind string, item_id string, text string")
+    terms = spark.createDataFrame([(1, "ROIC")], "term_id bigint, term string")
+    assert {r.item_id for r in GU.disguised_terms(items, terms, GU.corpus_rewriter(items)).collect()} == {"b1", "b3"}
+
+
 def test_unify_agrees_with_fold_on_random_texts():
     pool = [a for a, _ in GU.look_alike_pairs()][::7] + list("abcEPO收入（）() -é")
     rewriter = GU.Rewriter(GU.look_alike_classes(), {c: 9 for c in map(chr, range(32, 127))} | {"ff": 9, "fi": 9, "fl": 9, "ffi": 9, "ffl": 9})
