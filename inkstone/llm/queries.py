@@ -80,10 +80,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The class of near-duplicates every chunk is in, and its number of links."""
+    """The class of near-duplicates every chunk is in, the text it holds, and its number of links."""
     return near_duplicates.groups(table(spark, d, "chunks"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between different texts, a text standing for all of its copies."""
+    return near_duplicates.text_links(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -133,6 +138,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_detect.rates(_scored(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found,
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql, "p6_found": p6_sql}

@@ -222,7 +222,7 @@ def test_duplicate_pairs_against_brute_force(spark):
         texts[f"e{k:03d}"] = _edited(base, rng, 4)
         texts[f"f{k:03d}"] = base[200:] + base[:200]
     texts["g"] = texts["d001"]
-    clean = {k: ND.SPACE.sub("", t) for k, t in texts.items()}
+    clean = {k: ND.solid(t) for k, t in texts.items()}
     names = sorted(clean)
     near = {n: {n} for n in names}
     for i, a in enumerate(names):
@@ -248,22 +248,49 @@ def _closed(near):
 def test_hot_block_is_dealt_into_cells(spark):
     rng = random.Random(4)
     base = prose(300, rng)
-    texts = {_edited(base, rng, 1) for _ in range(60)}
-    chunks = spark.createDataFrame([(f"h{k:03d}", t) for k, t in enumerate(sorted(texts))], "chunk_id string, text string")
-    sketch = ND.sketched(chunks)
-    small, large = ({tuple(r) for r in ND.candidate_pairs(sketch, cell=c).collect()} for c in (8, 256))
-    assert small == large and len(small) == len(texts) * (len(texts) - 1) // 2
-
-
-def test_many_copies(spark):
+    made = {_edited(base, rng, 1) for _ in range(60)}
+    chunks = spark.createDataFrame([(f"h{k:03d}", t) for k, t in enumerate(sorted(made))], "chunk_id string, text string")
+    texts = ND.distinct_texts(ND.sketched(chunks))
+    small, large, split = ({tuple(r) for r in ND.candidate_pairs(texts, cell=c, hot=h).collect()} for c, h in ((8, 99), (256, 99), (8, 20)))
+    assert small == large == split and len(small) == len(made) * (len(made) - 1) // 2
+
+
+@pytest.mark.parametrize("pivots", [1, 3, 8])
+def test_block_pairs_against_brute_force(pivots):
+    rng = np.random.default_rng(pivots)
+    centres = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    prints = centres[rng.integers(0, 3, (5, 40))] ^ (rng.integers(0, 1 << 63, (5, 40, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (5, 40, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (5, 40, 4), dtype=np.uint64))
+    texts, own, mixed = np.arange(200).reshape(5, 40), rng.integers(0, 2, (5, 40)), np.array([False, True, False, True, False])
+    a, b, tally = ND.block_pairs(texts, own, mixed, prints, 72, pivots)
+    every = [(g, i, j) for g in range(5) for i in range(40) for j in range(i + 1, 40) if not mixed[g] or own[g, i] != own[g, j]]
+    near = {(int(texts[g, i]), int(texts[g, j])) for g, i, j in every if sum(map(int, np.bitwise_count(prints[g, i] ^ prints[g, j]))) <= 72}
+    assert set(zip(a.tolist(), b.tolist())) == near and tally[0] == len(every) and tally[2] == len(near) and 0 < tally[1] <= len(every) - len(near)
+
+
+def test_pivots_discard_what_is_far_apart(spark):
+    rng = random.Random(12)
+    shared = prose(260, rng)
+    rows = [(f"c{k:03d}", shared + prose(500, rng)) for k in range(80)]
+    texts = ND.distinct_texts(ND.sketched(spark.createDataFrame(rows + [(f"d{i}", _edited(t, rng, 2)) for i, t in rows], "chunk_id string, text string")))
+    drawn, discarded, kept = ND.pivot_tally(texts)
+    assert drawn > kept + 20 and discarded > 0.5 * (drawn - kept)
+
+
+@pytest.mark.parametrize("n,cell", [(100, 2048), (101, 16), (1500, 200)])
+def test_many_copies(spark, n, cell):
     rng = random.Random(6)
     base = prose(300, rng)
     other = _edited(base, rng, 2)
-    n = ND.COPIES + 20
-    chunks = spark.createDataFrame([(f"k{k:04d}", base) for k in range(n)] + [("z1", other), ("z2", other)], "chunk_id string, text string")
-    pairs = {tuple(r) for r in ND.duplicate_pairs(chunks).collect()}
-    assert pairs == {("k0000", f"k{k:04d}") for k in range(1, n)} | {("k0000", "z1"), ("k0000", "z2"), ("z1", "z2")}
-    assert {r.class_id for r in ND.groups(chunks).collect()} == {"k0000"}
+    copies = [f"k{k:04d}" for k in range(n)]
+    chunks = spark.createDataFrame([(c, base) for c in copies] + [("z1", other), ("z2", other)], "chunk_id string, text string")
+    pairs = ND.duplicate_pairs(chunks, cell)
+    everything = n * (n - 1) // 2 + 2 * n + 1
+    if n < 1000:
+        assert sorted(map(tuple, pairs.collect())) == sorted((a, b) for k, a in enumerate(copies + ["z1", "z2"]) for b in (copies + ["z1", "z2"])[k + 1 :])
+    assert pairs.count() == pairs.distinct().count() == everything
+    rows = ND.groups(chunks).collect()
+    assert {r.class_id for r in rows} == {"k0000"} and {r.text_id for r in rows} == {"k0000", "z1"} and {r.links for r in rows} == {1} and len(rows) == n + 2
+    assert [tuple(r) for r in ND.text_links(chunks).collect()] == [("k0000", "z1")]
 
 
 def test_components(spark):
