@@ -8,13 +8,15 @@ longer than the size is never cut.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkstone.functions.text import normalize_whitespace, numbered, strip
-from inkstone.session import fence
+from inkstone.session import fence, materialize, small
 
 #: Chunk size and overlap of the default comparison.
 CONFIGS = ((256, 50), (512, 100), (1024, 200))
@@ -34,10 +36,18 @@ def checked(size: int, overlap: int) -> tuple[int, int]:
     return size, overlap
 
 
-def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The last delivery of each key."""
+def latest(df: DataFrame, keys: list[str], at: str, most: int = 400_000) -> DataFrame:
+    """The last delivery of each key; rows with a null in their key are all kept.
+
+    Only the keys are counted over the network; whole rows move for keys that were delivered more than once (few),
+    and if there are more than `most` of these, which are broadcast up to there.
+    """
+    known = [F.col(k).isNotNull() for k in keys]
+    again = materialize(df.where(reduce(and_, known)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys))
+    again = small(again, most)
     order = W.partitionBy(*keys).orderBy(F.desc_nulls_last(at))
-    return df.withColumn("_delivery", F.row_number().over(order)).where("_delivery = 1").drop("_delivery")
+    last = df.join(again, keys, "left_semi").withColumn("_delivery", F.row_number().over(order)).where("_delivery = 1").drop("_delivery")
+    return df.join(again, keys, "left_anti").unionByName(last)
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstone.operators import layout as L
-from inkstone.operators import tables as T
 from inkstone.plans import sql as S
 from inkstone.plans.table_queries import _boxes, _tables
 
@@ -45,13 +44,26 @@ def layout_pages(spark, d):
 
 
 def layout_rows(spark, d):
-    return L.box_rows(_boxes(spark, d), _tables(spark, d).limit(0)).select("box_id", "row")
+    return L.box_rows(_boxes(spark, d), _tables(spark, d)).select("box_id", "row")
+
+
+def _shown(found):
+    cells = F.array_join(F.transform("cells", lambda c: F.concat(c.row.cast("string"), F.lit(","), c.col.cast("string"), F.lit(","), c.text_box_ids[0])), " ")
+    return found.select("table_id", "doc_id", "page", "caption", *(F.col("bbox")[k].alias(n) for k, n in enumerate(("x0", "top", "x1", "bottom"))), cells.alias("cells"))
 
 
 def layout_detected_tables(spark, d):
-    """Tables without lines beside those already known, as text."""
-    found = L.detected_tables(_boxes(spark, d), _tables(spark, d))
-    return T.structured(found).select("table_id", "doc_id", "page", "caption", F.col("text_").alias("text"))
+    """Tables without lines beside those already known."""
+    return _shown(L.detected_tables(_boxes(spark, d), _tables(spark, d)))
+
+
+def layout_redetected_tables(spark, d):
+    """The cells of every table, and its caption above them, taken for text boxes on a page of its own without known tables."""
+    known = _tables(spark, d).withColumn("doc_id", F.col("table_id"))
+    cell = known.select("table_id", "doc_id", "page", F.posexplode("cells").alias("ord", "c")).where("size(c.bbox) = 4")
+    cells = cell.select("doc_id", "page", F.col("ord").alias("box_ord"), F.concat("table_id", F.lit("-r"), F.col("c.row").cast("string"), F.lit("c"), F.col("c.col").cast("string")).alias("box_id"), "c.text", *(F.col("c.bbox")[k].alias(n) for k, n in enumerate(("x0", "top", "x1", "bottom"))))
+    above = known.where("size(bbox) = 4 and caption is not null").select("doc_id", "page", F.lit(-1).alias("box_ord"), F.concat("table_id", F.lit("-caption")).alias("box_id"), F.col("caption").alias("text"), F.col("bbox")[0].alias("x0"), (F.col("bbox")[1] - 20).alias("top"), F.col("bbox")[2].alias("x1"), (F.col("bbox")[1] - 8).alias("bottom"))
+    return _shown(L.detected_tables(cells.unionByName(above), known.limit(0)))
 
 
 _N, _B = S.norm("coalesce(b.text, '')"), S.bare("coalesce(b.text, '')")
@@ -83,15 +95,44 @@ size AS (SELECT doc_id, page, max(page_width) AS w, max(page_height) AS h FROM b
 reg0 AS (SELECT 'p' || lpad(page::VARCHAR, greatest(3, length(page::VARCHAR))::INT, '0') || '-table-' || lpad(ord::VARCHAR, 3, '0') AS region_id, doc_id, page, 'table' AS type, bbox[1] AS x0, bbox[2] AS top, bbox[3] AS x1, bbox[4] AS bottom, 'pdfplumber_table' AS source FROM tabs WHERE len(bbox) = 4
   UNION ALL SELECT box_id || '-' || layout_type, doc_id, page, layout_type, x0, top, x1, bottom, 'repeated_margin' FROM tag WHERE layout_type IN ('header', 'footer')),
 reg AS (SELECT region_id, doc_id, page, type, greatest(0, least(x0, coalesce(nullif(w, 0), x0))) AS x0, greatest(0, least(top, coalesce(nullif(h, 0), top))) AS top, greatest(0, least(x1, coalesce(nullif(w, 0), x1))) AS x1, greatest(0, least(bottom, coalesce(nullif(h, 0), bottom))) AS bottom, source FROM reg0 JOIN size USING (doc_id, page))"""
-_ROWS = f"""WITH RECURSIVE u AS (SELECT * FROM {S.BOXES} b WHERE coalesce(text, '') <> '' AND length(text) <= 120 AND NOT ({_NUM})),
+_FREE = f"SELECT b.* FROM {S.BOXES} b ANTI JOIN {S.TABLES} t ON t.doc_id = b.doc_id AND t.page = b.page AND {_OVER.replace('>= 0.45', '>= 0.25')}"
+_CELLS = f"""SELECT table_id || '-r' || c.row || 'c' || c.col AS box_id, table_id AS doc_id, page, c.text AS text, c.bbox[1] AS x0, c.bbox[2] AS top, c.bbox[3] AS x1, c.bbox[4] AS bottom, k - 1 AS box_ord FROM (SELECT table_id, doc_id, page, unnest(cells) AS c, unnest(generate_series(1, len(cells))) AS k FROM {S.TABLES}) WHERE len(c.bbox) = 4
+  UNION ALL SELECT table_id || '-caption', table_id, page, caption, bbox[1], bbox[2] - 20, bbox[3], bbox[2] - 8, -1 FROM {S.TABLES} WHERE len(bbox) = 4 AND caption IS NOT NULL"""
+
+
+def _rows_sql(boxes: str) -> str:
+    """CTEs that end in f: box_id, row."""
+    return f"""u AS (SELECT * FROM ({boxes}) b WHERE coalesce(text, '') <> '' AND length(text) <= 120 AND NOT ({_NUM})),
 med AS (SELECT doc_id, page, greatest(3, 0.65::DOUBLE * list_sort(list(greatest(1, bottom - top)))[(count(*) // 2 + 1)::INT]) AS near FROM u GROUP BY 1, 2),
 o AS (SELECT u.doc_id, u.page, box_id, (top + bottom) / 2 AS m, near, row_number() OVER (PARTITION BY u.doc_id, u.page ORDER BY (top + bottom) / 2, x0, box_ord) AS k FROM u JOIN med ON med.doc_id = u.doc_id AND med.page = u.page),
 f AS (SELECT doc_id, page, box_id, k, near, 1 AS row, m AS mean, 1 AS n FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.page, o.box_id, o.k, o.near, CASE WHEN abs(o.m - f.mean) <= o.near THEN f.row ELSE f.row + 1 END, CASE WHEN abs(o.m - f.mean) <= o.near THEN (f.mean * f.n + o.m) / (f.n + 1) ELSE o.m END, CASE WHEN abs(o.m - f.mean) <= o.near THEN f.n + 1 ELSE 1 END
-  FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1)
-SELECT box_id, row::INT AS row FROM f"""
-
-QUERIES = {f.__name__: f for f in (layout_repeated_margins, layout_tags, layout_regions, layout_columns, layout_captions, layout_sections, layout_pages, layout_rows, layout_detected_tables)}
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1)"""
+
+
+def _detected_sql(boxes: str, known: str) -> str:
+    figure = f"regexp_matches({S.strip("translate(u.text, ',%％', '')")}, '^(-|—|--|－|\\(?[-+]?{_D}+(\\.{_D}+)?\\)?|{_D}{{4}}[A-Z]?)$')"
+    told = S.norm("t")
+    fit = lambda k: f"CASE WHEN t{k} <> '' AND head_top - b{k} BETWEEN 0 AND 24 AND (regexp_matches({S.bare(f't{k}')}, '^(表|图表|图|资料来源|数据来源|来源)') OR contains(t{k}, '表') OR contains(t{k}, '数据')) THEN t{k} END"
+    return f"""WITH RECURSIVE {_rows_sql(boxes)},
+r AS (SELECT u.*, f.row AS row, row_number() OVER (PARTITION BY u.doc_id, u.page, f.row ORDER BY u.x0, k) AS col, {figure} AS fig, regexp_matches(u.text, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]') AS word FROM u JOIN f USING (box_id)),
+l0 AS (SELECT doc_id, page, row, count(*) AS n, count_if(fig) AS figs, bool_or(word) AS word, string_agg(text, ' ' ORDER BY col) AS t, max(bottom) AS b FROM r GROUP BY 1, 2, 3),
+l AS (SELECT *, lag(n) OVER w AS gap, lag({told}) OVER w AS t1, lag(b) OVER w AS b1, lag({told}, 2) OVER w AS t2, lag(b, 2) OVER w AS b2 FROM l0 WINDOW w AS (PARTITION BY doc_id, page ORDER BY row)),
+k0 AS (SELECT *, row - lag(row) OVER (PARTITION BY doc_id, page ORDER BY row) AS step FROM l WHERE n >= 4 AND figs >= 2 AND word),
+k1 AS (SELECT *, sum(CASE WHEN step = 1 OR step = 2 AND gap <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY row) AS island FROM k0),
+k2 AS (SELECT doc_id, page, island, row_number() OVER (PARTITION BY doc_id, page ORDER BY island) AS run FROM k1 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+m AS (SELECT r.*, k2.run, t1, b1, t2, b2, min(r.row) OVER (PARTITION BY r.doc_id, r.page, k2.run) AS head FROM r JOIN k1 ON k1.doc_id = r.doc_id AND k1.page = r.page AND k1.row = r.row JOIN k2 ON k2.doc_id = k1.doc_id AND k2.page = k1.page AND k2.island = k1.island),
+e AS (SELECT doc_id, page, run, max_by(x1, col) + 12 AS edge FROM m WHERE row = head AND fig GROUP BY 1, 2, 3),
+q AS (SELECT m.*, count(*) OVER w AS n, count_if(fig) OVER w AS figs FROM m JOIN e USING (doc_id, page, run) WHERE x0 <= edge WINDOW w AS (PARTITION BY doc_id, page, run, row)),
+g AS (SELECT doc_id, page, run FROM (SELECT doc_id, page, run, row, any_value(n) AS n, any_value(figs) AS figs FROM q WHERE n >= 3 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND count_if(n >= 4) >= 3 AND count_if(figs >= 2) / count(*) >= 0.65),
+c AS (SELECT q.*, dense_rank() OVER (PARTITION BY doc_id, page, run ORDER BY row) - 1 AS rr, row_number() OVER (PARTITION BY doc_id, page, run, row ORDER BY col) - 1 AS cc FROM q JOIN g USING (doc_id, page, run) WHERE n >= 3),
+z AS (SELECT doc_id, page, run, round(min(x0), 2) AS x0, round(min(top), 2) AS top, round(max(x1), 2) AS x1, round(max(bottom), 2) AS bottom, max(n) AS columns, min(top) FILTER (WHERE rr = 0) AS head_top, any_value(t1) FILTER (WHERE rr = 0) AS t1, any_value(b1) FILTER (WHERE rr = 0) AS b1, any_value(t2) FILTER (WHERE rr = 0) AS t2, any_value(b2) FILTER (WHERE rr = 0) AS b2,
+  string_agg(rr || ',' || cc || ',' || box_id, ' ' ORDER BY rr, cc) AS cells FROM c GROUP BY 1, 2, 3)
+SELECT {S.number_id(S.number_id("doc_id", "p", "page"), "layout-t", "run")} AS table_id, doc_id, page, coalesce({fit(1)}, {fit(2)}, '') AS caption, x0, top, x1, bottom, cells FROM z
+WHERE columns >= 3 AND NOT EXISTS (SELECT 1 FROM ({known}) t WHERE t.doc_id = z.doc_id AND t.page = z.page AND len(t.bbox) = 4 AND greatest(0, least(z.x1, t.bbox[3]) - greatest(z.x0, t.bbox[1])) * greatest(0, least(z.bottom, t.bbox[4]) - greatest(z.top, t.bbox[2])) / greatest(1, (z.x1 - z.x0) * (z.bottom - z.top)) >= 0.25)"""
+
+
+QUERIES = {f.__name__: f for f in (layout_repeated_margins, layout_tags, layout_regions, layout_columns, layout_captions, layout_sections, layout_pages, layout_rows, layout_detected_tables, layout_redetected_tables)}
 SQL = {
     "layout_repeated_margins": lambda: f"WITH {_BASE} SELECT doc_id, text FROM rep",
     "layout_tags": lambda: f"WITH {_BASE} SELECT box_id, layout_type, layoutno FROM tag",
@@ -102,5 +143,7 @@ SQL = {
     "layout_sections": lambda: f"WITH {_BASE} SELECT {S.number_id(S.number_id('doc_id', 'p', 'page'), 's', 'section_ord')} AS section_id, doc_id, page, text, layout_type, layoutno, col_id, x0, top, x1, bottom, box_ids FROM sec",
     "layout_pages": lambda: f"""WITH {_BASE} SELECT b.doc_id, b.page, {S.norm("coalesce(any_value(s.text), '')")} AS text, coalesce(any_value(s.n), 0)::INT AS section_count, count(*) AS text_box_count, coalesce(any_value(r.n), 0) AS layout_region_count, coalesce(any_value(t.n), 0) AS table_count FROM b0 b
       LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY section_ord) AS text, count(*) AS n FROM sec GROUP BY 1, 2) s USING (doc_id, page) LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM reg GROUP BY 1, 2) r USING (doc_id, page) LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM tabs GROUP BY 1, 2) t USING (doc_id, page) GROUP BY b.doc_id, b.page""",
-    "layout_rows": lambda: _ROWS,
+    "layout_rows": lambda: f"WITH RECURSIVE {_rows_sql(_FREE)} SELECT box_id, row::INT AS row FROM f",
+    "layout_detected_tables": lambda: _detected_sql(_FREE, S.TABLES),
+    "layout_redetected_tables": lambda: _detected_sql(_CELLS, f"SELECT * FROM {S.TABLES} LIMIT 0"),
 }

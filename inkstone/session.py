@@ -63,6 +63,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, which is materialized or cheap to count, marked for broadcasting if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fence(df: DataFrame) -> DataFrame:
     """df as it is, but no column is computed again where it is used: the optimizer does not merge projections across a generator.
 

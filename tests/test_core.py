@@ -218,28 +218,34 @@ def test_detected_tables_query_leaves_out_known_tables(spark, tmp_path):
     assert layout_queries.layout_detected_tables(spark, str(tmp_path)).count() == 2
 
 
-def slow_runs(rows):
-    """Row by row, with the state in plain variables."""
-    out, now, waited = [], [], False
-    for k, r in enumerate(rows):
-        texts = [b[1] for b in r]
-        like = len(r) >= 4 and sum(bool(layout._figures([b])) for b in r) >= 2 and any(re.search("[一-鿿A-Za-z]", t) for t in texts)
-        if like:
-            now.append(k)
-            waited = False
-        elif now and len(r) <= 2 and not waited:
-            waited = True
-        else:
-            out.append(now)
-            now, waited = [], False
-    return [x for x in [*out, now] if layout._steady([rows[k] for k in x])]
-
-
-def test_runs_on_random_rows():
-    rng = random.Random(8)
-    for _ in range(400):
-        rows = [[(f"{k}{c}", rng.choice(["1", "2023", "字", "-"]), c * 10.0, 0.0, c * 10.0 + 5, 5.0) for c in range(rng.choice([1, 2, 3, 4, 5, 5, 5]))] for k in range(rng.randint(0, 14))]
-        assert layout.table_runs(rows) == slow_runs(rows)
+FIGURE_ROW, PLAIN_ROW, NOTE = ["指标", "1", "2", "3"], ["甲", "乙", "丙"], ["注"]
+
+
+@pytest.mark.parametrize("made,rows", [
+    ([FIGURE_ROW] * 3, {1: [1, 2, 3]}), ([FIGURE_ROW] * 2, {}), ([FIGURE_ROW, NOTE, FIGURE_ROW, FIGURE_ROW], {1: [1, 3, 4]}), ([FIGURE_ROW, NOTE, NOTE, FIGURE_ROW, FIGURE_ROW], {}), ([FIGURE_ROW, PLAIN_ROW, FIGURE_ROW, FIGURE_ROW], {}),
+    ([NOTE, *[FIGURE_ROW] * 3, PLAIN_ROW, *[FIGURE_ROW] * 4], {1: [2, 3, 4], 2: [6, 7, 8, 9]}), ([*[FIGURE_ROW] * 2, PLAIN_ROW, *[FIGURE_ROW] * 3, NOTE], {1: [4, 5, 6]}), ([["1", "2", "3", "4"]] * 3, {}), ([["甲", "乙", "丙", "4"]] * 3, {}), ([], {}),
+])
+def test_runs(spark, made, rows):
+    placed = spark.createDataFrame([("d", 1, r, c, f"{r}-{c}", t, 10.0 * c, 20.0 * r, 10.0 * c + 5, 20.0 * r + 9) for r, line in enumerate(made, 1) for c, t in enumerate(line, 1)], "doc_id string, page int, row int, col int, box_id string, text string, x0 double, top double, x1 double, bottom double")
+    got = {}
+    for r in layout.table_runs(placed).select("run", "row").distinct().orderBy("row").collect():
+        got.setdefault(r.run, []).append(r.row)
+    assert got == rows
+
+
+def test_rows_follow_the_mean_of_their_middles(spark):
+    tops = [100.0, 105.0, 112.0, 111.0, 130.0]  # of height 10: within 6.5 of the mean so far
+    made = [(1, f"t{k}", 50.0 + 10 * k, y, 20.0, 10.0) for k, y in enumerate(tops)]
+    got = {r.text: (r.row, r.col) for r in layout.box_rows(boxes(spark, made), spark.createDataFrame([], TAB)).collect()}
+    assert got == {"t0": (1, 1), "t1": (1, 2), "t2": (2, 1), "t3": (2, 2), "t4": (3, 1)} or got == {"t0": (1, 1), "t1": (1, 2), "t3": (2, 2), "t2": (2, 1), "t4": (3, 1)}
+
+
+def test_latest(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), ("b", 0, "w"), ("c", 5, "v"), ("c", 5, "v"), (None, 1, "n"), (None, 1, "m")]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    for most in (0, 100):
+        assert sorted(chunking.latest(df, ["k"], "at", most).collect(), key=str) == sorted([("a", 2, "y"), ("b", 0, "w"), ("c", 5, "v"), (None, 1, "n"), (None, 1, "m")], key=str)
+    assert chunking.latest(df.limit(0), ["k"], "at").count() == 0
 
 
 # --- catalogue and sources
