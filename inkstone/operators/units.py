@@ -2,16 +2,19 @@
 
 Method: the distinct spellings of units in cells, row labels, column headers and captions are mapped to known
 units through an inverted index of character n-grams, and the best candidates are verified by a weighted edit
-distance (look-alikes cost nothing, blanks and case little, characters that change the scale more than is ever
-accepted). The alias dictionary is joined to all rows. Row labels are mapped to glossary terms the same way.
+distance (look-alikes cost nothing, blanks, case and a plural's s little, a letter inside a word or a character that
+tells no scale one, characters that change the scale more than is ever accepted). Row labels are mapped to glossary
+terms by the same index, with less room for edits. The alias dictionaries are joined to all rows.
 
 Defined results: a cell without a number, whose label is no term with a measure, or for which no unit of that
 measure is stated, gives no figure; null cells, captions and headers state nothing; a table delivered again
-counts once (cells by id; the latest by parsed_at). A spelling equally near to two units is none.
+counts once (the latest by parsed_at), tables without an id not at all; of two cells in one place the last counts.
+A spelling equally near to two units is none.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,41 +22,51 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from inkstone.functions.glyphs import fold, fold_column
-from inkstone.session import fence, materialize
+from inkstone.operators.chunking import latest
+from inkstone.session import fence, materialize, small
 
 # Units and how they are written, with their size in the measure's common unit
 # (yuan, one, tonne, kilowatt, kilowatt hour, square metre).
 UNITS = {
-    "money": {1: "元 RMB yuan 人民币 CNY", 1e3: "千元 RMB'000 RMB_thousand RMB_k", 1e4: "万元", 1e6: "百万元 RMB_million RMB_mn RMB_m RMB_mln", 1e7: "千万元", 1e8: "亿元", 1e9: "十亿元 RMB_billion RMB_bn", 1e10: "百亿元"},
-    "ratio": {1e-2: "% pct percent per_cent 百分之一 个百分点", 1e-3: "‰ 千分之一", 1e-4: "bp bps basis_points 基点"},
-    "mass": {1e-3: "千克 kg 公斤", 1: "吨 t tonnes tons", 1e3: "千吨 kt", 1e4: "万吨", 1e6: "百万吨 Mt", 1e8: "亿吨"},
-    "power": {1: "千瓦 kW kw", 1e3: "兆瓦 MW mw", 1e4: "万千瓦", 1e6: "吉瓦 GW gw 百万千瓦", 1e8: "亿千瓦"},
-    "energy": {1: "千瓦时 kWh kwh 度", 1e3: "兆瓦时 MWh mwh", 1e4: "万千瓦时", 1e6: "吉瓦时 GWh gwh 百万千瓦时", 1e8: "亿千瓦时", 1e9: "TWh twh 太瓦时"},
-    "area": {1: "平方米 m² m2 sqm 平米 ㎡", 1e4: "万平方米 公顷 ha hectares", 1e6: "平方公里 km² km2 平方千米 百万平方米"},
+    "money": {1: "元 RMB yuan 人民币 CNY", 1e3: "千元 RMB'000 RMB_thousand RMB_k thousand_yuan", 1e4: "万元", 1e6: "百万元 RMB_million RMB_mn RMB_m RMB_mln million million_yuan", 1e7: "千万元", 1e8: "亿元", 1e9: "十亿元 RMB_billion RMB_bn billion billion_yuan", 1e10: "百亿元"},
+    "ratio": {1e-2: "% pct percent per_cent 百分之一 个百分点 percentage_points", 1e-3: "‰ 千分之一", 1e-4: "bp bps basis_points 基点"},
+    "mass": {1e-3: "千克 kg 公斤 kilograms", 1: "吨 t tonnes tons metric_tons", 1e3: "千吨 kt", 1e4: "万吨", 1e6: "百万吨 Mt", 1e8: "亿吨"},
+    "power": {1: "千瓦 kW kw kilowatts", 1e3: "兆瓦 MW mw megawatts", 1e4: "万千瓦", 1e6: "吉瓦 GW gw 百万千瓦 gigawatts", 1e8: "亿千瓦"},
+    "energy": {1: "千瓦时 kWh kwh 度 kilowatt_hours", 1e3: "兆瓦时 MWh mwh megawatt_hours", 1e4: "万千瓦时", 1e6: "吉瓦时 GWh gwh 百万千瓦时 gigawatt_hours", 1e8: "亿千瓦时", 1e9: "TWh twh 太瓦时 terawatt_hours"},
+    "area": {1: "平方米 m² m2 sqm 平米 ㎡ square_metres square_meters", 1e4: "万平方米 公顷 ha hectares", 1e6: "平方公里 km² km2 平方千米 百万平方米 square_kilometres square_kilometers"},
 }
 # Traditional characters of table labels and their simplified forms.
 SIMPLIFIED = str.maketrans("業務總額產資負債費淨歸銷財發動現營運貨幣應收賬帳款儲備幹達績險報長貸間稅權東預測師級計劃價設開製錄與單噸電裝機風導體氣鋰鹽飼離發網綠產圍積儲轉廠區礦銀連鎖藥醫療華國際潤項數據億萬", "业务总额产资负债费净归销财发动现营运货币应收账账款储备干达绩险报长贷间税权东预测师级计划价设开制录与单吨电装机风导体气锂盐饲离发网绿产围积储转厂区矿银连锁药医疗华国际润项数据亿万")
-#: Characters that change a unit's size or kind: an edit of one is never accepted.
+#: Characters that change a unit's size or kind: an edit of one is never accepted, unless it stands inside a longer word.
 SCALE = set("十百千万亿兆吉太kKmMgGtTbB0123456789元吨瓦时平方米公里顷亩克%‰pPhH²")
+LONG_WORD = re.compile(r"[A-Za-z]{5,}")
 FILLER = re.compile(r"单位|人民币(?=\S)|另有注明除外|除.{0,6}注明.*|unless (?:otherwise )?stated|in(?= RMB)|为|units?(?=:)|[:()\[\],，、]", re.I)
 DICTIONARY_BROADCAST = 100_000
-NUMBER = r"^\s*(\()?\s*([-+])?\s*(RMB|CNY|¥)?\s*([-+])?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)\s*(\))?\s*([^\d]{0,24}(?:'?000)?[²2]?)\s*[*†]*\s*$"
+NUMBER = r"^\s*(\()?\s*([-+])?\s*(RMB|CNY|¥)?\s*([-+])?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)\s*(\))?\s*([^\d]*(?:'?000)?[²2]?)\s*[*†]*\s*$"
+
+
+def edit_costs(s: str) -> list[float]:
+    """What dropping or adding each character costs: 0.1 a blank or mark, 0.3 a plural's s, 3 a character that tells the scale, else 1."""
+    out = [0.1 if not c.isalnum() and c not in SCALE else 3.0 if c in SCALE else 1.0 for c in s]
+    for word in LONG_WORD.finditer(s):  # of a long word the first letter tells the scale
+        out[word.start() + 1 : word.end()] = [1.0] * (word.end() - word.start() - 1)
+    for k, c in enumerate(s):
+        if c == "s" and k > 1 and s[k - 1].isalpha() and not s[k + 1 : k + 2].isalpha():
+            out[k] = 0.3
+    return out
 
 
 def weighted_distance(a: str, b: str, most: float = 3.0) -> float:
-    """Edit distance: 0.1 for a blank or mark, 0.15 for case, 3 for a character that changes the scale, else 1."""
-    cost = lambda c: 0.1 if not c.isalnum() and c not in SCALE else 3.0 if c in SCALE else 1.0
-    row = [0.0]
-    for c in b:
-        row.append(row[-1] + cost(c))
-    for x in a:
-        new = [row[0] + cost(x)]
+    """Edit distance by edit_costs; a change costs the dearer of the two, of case only 0.15."""
+    costs, own = edit_costs(b), edit_costs(a)
+    row = [0.0, *itertools.accumulate(costs)]
+    for x, dear in zip(a, own):
+        new = [row[0] + dear]
         for k, y in enumerate(b):
-            swap = 0.0 if x == y else 0.15 if x.casefold() == y.casefold() else max(cost(x), cost(y))
-            new.append(min(row[k] + swap, row[k + 1] + cost(x), new[-1] + cost(y)))
+            swap = 0.0 if x == y else 0.15 if x.casefold() == y.casefold() else max(dear, costs[k])
+            new.append(min(row[k] + swap, row[k + 1] + dear, new[-1] + costs[k]))
         if min(new) > most:
             return min(new)
         row = new
@@ -75,7 +88,7 @@ class SpellingIndex:
         s = s.casefold().replace(" ", "")
         return {*s, *(s[k : k + 2] for k in range(len(s) - 1))}
 
-    def nearest(self, spelling: str, share: float = 0.12, floor: float = 0.5) -> object | None:
+    def nearest(self, spelling: str, share: float = 0.25, floor: float = 0.5) -> object | None:
         """The value of the nearest known spelling within max(floor, share of its length), if it is the only one so near."""
         if spelling in self.known:
             return self.known[spelling]
@@ -110,42 +123,61 @@ def read_unit(spelling: str | None, index: SpellingIndex) -> tuple[str, float] |
     return index.nearest(bare) if bare else None
 
 
-def read_label(label: str | None, terms: dict[str, tuple[int, str]], by_length: list[str], index: SpellingIndex) -> tuple[int, str, tuple[str, float] | None] | None:
+#: Where a unit noted after a label may begin.
+NOTED = re.compile(r"\s*[(\[,，、:/]|\s*单位")
+#: The share of a label's length that may be edited.
+LABEL_SHARE = 0.12
+
+
+def read_label(label: str | None, terms: SpellingIndex, units: SpellingIndex) -> tuple[int, str, tuple[str, float] | None] | None:
     """The (term_id, measure, unit) of a row label: a term, perhaps with a unit noted after it."""
     if not label:
         return None
     text = fold(label).strip().translate(SIMPLIFIED)
-    for candidate in (text, text.casefold()):
-        for term in by_length:
-            if candidate.startswith(term):
-                rest = text[len(term) :].strip()
-                unit = read_unit(rest, index) if rest else None
-                if not rest or unit is not None and re.match(r"[(\[,，、:/]|\s*单位", rest):
-                    return (*terms[term], unit)
+    parts = [(text, None)]
+    for m in reversed(list(NOTED.finditer(text))):
+        if m.start() and (unit := read_unit(text[m.start() :], units)):
+            parts.append((text[: m.start()].strip(), unit))
+    for head, unit in parts:  # as it is, before anything that is only near
+        if found := terms.known.get(head) or terms.known.get(head.casefold()):
+            return (*found, unit)
+    for head, unit in parts:
+        if found := terms.nearest(head.casefold(), LABEL_SHARE):
+            return (*found, unit)
     return None
 
 
-def _term_table(terms: list) -> tuple[dict[str, tuple[int, str]], list[str]]:
+def term_index(terms: list) -> SpellingIndex:
     known: dict[str, tuple[int, str]] = {}
     for r in sorted(terms, key=lambda r: r.term_id):
-        for s in (fold(r.term).strip().translate(SIMPLIFIED), fold(r.term).strip().translate(SIMPLIFIED).casefold()):
+        plain = fold(r.term).strip().translate(SIMPLIFIED)
+        for s in (plain, plain.casefold()):
             known.setdefault(s, (r.term_id, r.measure))
-    return known, sorted(known, key=lambda s: (-len(s), s))
+    return SpellingIndex(known)
+
 
+def table_rows(tables: DataFrame) -> DataFrame:
+    """(table_id, doc_id, page, heads, corner_unit, caption_unit, row, label, cells) of each body row.
 
-def body_cells(tables: DataFrame) -> DataFrame:
-    """Body cells with their row label, their column's header, column 0's header and the caption, folded."""
-    head = F.filter("cells", lambda c: c.row == 0)
-    side = F.filter("cells", lambda c: (c.col == 0) & (c.row > 0))
-    body = F.filter("cells", lambda c: (c.col > 0) & (c.row > 0) & c.text.isNotNull())
-    first = lambda found: F.try_element_at(found, F.lit(1)).text
-    rows = tables.where("table_id is not null").select("table_id", "doc_id", "page", "caption", "parsed_at", head.alias("head"), side.alias("side"), body.alias("body"))
-    rows = fence(rows).select("table_id", "doc_id", "page", "caption", "parsed_at", first(F.filter("head", lambda h: h.col == 0)).alias("corner"), "head", "side", F.explode("body").alias("c"))
+    What headers and captions say is read once per table. heads: column -> (year, unit) where the header has a year.
+    """
     folded = lambda c: F.trim(fold_column(c))
-    return fence(rows.select(
-        "table_id", "doc_id", "page", "parsed_at", F.col("c.row").alias("row"), F.col("c.col").alias("col"), folded(F.col("c.text")).alias("text"),
-        first(F.filter("side", lambda s: s.row == F.col("c.row"))).alias("label"), folded(first(F.filter("head", lambda h: h.col == F.col("c.col")))).alias("header"), folded(F.col("corner")).alias("corner"), folded(F.col("caption")).alias("caption"),
-    ))
+    once = latest(tables.where("table_id is not null").select("table_id", "doc_id", "page", "caption", "cells", "parsed_at"), ["table_id"], "parsed_at")
+    cells = F.array_sort(F.transform(F.filter("cells", lambda c: c.row.isNotNull() & c.col.isNotNull()), lambda c, k: F.struct(c.row.alias("row"), c.col.alias("col"), k.alias("k"), c.text.alias("text"))))
+    once = fence(once.select("table_id", "doc_id", "page", "caption", cells.alias("all")))
+    place = lambda c: F.struct(c.row, c.col)
+    once = fence(once.withColumn("all", F.filter("all", lambda c, k: ~F.coalesce(place(F.get("all", k + 1)) == place(c), F.lit(False)))))
+    starts = F.when(F.size("all") > 0, F.filter(F.sequence(F.lit(1), F.size("all")), lambda k: (k == 1) | (F.get("all", k - 2).row != F.get("all", k - 1).row)))
+    heads = F.transform(F.filter("all", lambda c: (c.row == 0) & c.text.isNotNull()), lambda c: F.struct(c.col.alias("col"), folded(c.text).alias("text")))
+    once = fence(once.select("table_id", "doc_id", "page", "all", starts.alias("starts"), heads.alias("heads"), folded(F.col("caption")).alias("caption")))
+    corner = F.try_element_at(F.filter("heads", lambda h: h.col == 0), F.lit(1)).text
+    year = lambda t: F.regexp_extract(t, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
+    dated = F.transform(F.filter("heads", lambda h: F.length(year(h.text)) > 0), lambda h: F.struct(h.col, F.struct(year(h.text).cast("int").alias("year"), _stated(h.text).alias("unit"))))
+    rows = F.transform("starts", lambda at, k: F.slice("all", at, F.coalesce(F.get("starts", k + 1), F.size("all") + 1) - at))
+    once = fence(once.select("table_id", "doc_id", "page", F.map_from_entries(dated).alias("heads"), corner.alias("corner"), _stated(F.col("caption")).alias("caption_unit"), rows.alias("rows")))
+    once = once.where(F.size("heads") > 0).select("table_id", "doc_id", "page", "heads", F.coalesce(_stated(F.col("corner")), F.when(F.col("corner").rlike("单位|元$|RMB"), F.col("corner"))).alias("corner_unit"), "caption_unit", F.explode("rows").alias("cells"))
+    first = F.col("cells")[0]
+    return once.where((first.row > 0) & (first.col == 0)).select("table_id", "doc_id", "page", "heads", "corner_unit", "caption_unit", first.row.alias("row"), first.text.alias("label"), "cells")
 
 
 def _stated(column: Column) -> Column:
@@ -157,17 +189,17 @@ def _stated(column: Column) -> Column:
     return F.when(F.length(F.trim(pick)) > 0, F.trim(pick))
 
 
-def parsed(cells: DataFrame) -> DataFrame:
-    """Body cells that hold a number under a year, with the spellings that may state its unit."""
+def parsed(rows: DataFrame) -> DataFrame:
+    """Body cells that hold a number under a year, with the spellings that may state its unit; columns of rows are kept."""
+    kept = [c for c in rows.columns if c not in ("cells", "heads")]
+    each = rows.select(*kept, "heads", F.explode(F.filter("cells", lambda c: (c.col > 0) & c.text.isNotNull())).alias("c"))
+    each = each.select(*kept, F.element_at("heads", F.col("c.col")).alias("head"), F.col("c.col").alias("col"), F.col("c.text").alias("raw")).where("head is not null")
+    each = fence(each.withColumn("text", F.trim(F.when(F.col("raw").rlike(r"[^\x20-\x7e]"), fold_column(F.col("raw"))).otherwise(F.col("raw")))).drop("raw"))
     part = lambda k: F.regexp_extract("text", NUMBER, k)
-    year = F.regexp_extract("header", r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
     minus = (part(2) == "-") | (part(4) == "-") | ((part(1) == "(") & (part(6) == ")"))
     value = F.regexp_replace(part(5), ",", "").try_cast("double")
     unit = F.trim(F.concat_ws(" ", F.nullif(part(3), F.lit("")), F.nullif(F.trim(part(7)), F.lit(""))))
-    out = cells.where(F.col("text").rlike(NUMBER) & (F.length(year) > 0)).select(
-        "table_id", "doc_id", "page", "parsed_at", "row", "col", "label", year.cast("int").alias("year"), F.when(minus, -value).otherwise(value).alias("number"), F.when(F.length(unit) > 0, unit).alias("cell_unit"),
-        _stated(F.col("header")).alias("header_unit"), F.coalesce(_stated(F.col("corner")), F.when(F.col("corner").rlike("单位|元$|RMB"), F.col("corner"))).alias("corner_unit"), _stated(F.col("caption")).alias("caption_unit"),
-    )
+    out = each.where(F.col("text").rlike(NUMBER)).select(*kept, "col", F.col("head.year").alias("year"), F.when(minus, -value).otherwise(value).alias("number"), F.when(F.length(unit) > 0, unit).alias("cell_unit"), F.col("head.unit").alias("header_unit"))
     return out.where("number is not null")
 
 
@@ -186,48 +218,47 @@ def _mapped(spellings: DataFrame, schema: str, read) -> DataFrame:
     return materialize(spellings.mapInArrow(run, schema))
 
 
-def _checked(dictionary: DataFrame, most: int = DICTIONARY_BROADCAST) -> DataFrame:
-    return F.broadcast(dictionary) if dictionary.count() <= most else dictionary
-
-
-def alias_dictionaries(cells: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spelling, unit_measure, size) of units, and (label, term_id, measure, label_measure, label_size) of row labels."""
+def unit_dictionary(cells: DataFrame) -> DataFrame:
+    """(spelling, unit_measure, size) of every spelling that states a unit."""
     spelled = cells.select(F.explode(F.array("cell_unit", "header_unit", "corner_unit", "caption_unit")).alias("spelling")).where("spelling is not null").distinct()
 
     def units():
         index = unit_index()
         return lambda s: read_unit(s, index)
 
-    known, order = _term_table(terms.where("term is not null and measure is not null").collect())  # a fixed list
+    return _mapped(spelled, "spelling string, unit_measure string, size double", units)
 
-    def labels():
-        index = unit_index()
 
-        def read(s):
-            found = read_label(s, known, order, index)
+def label_dictionary(labels: DataFrame, terms: DataFrame) -> DataFrame:
+    """(label, term_id, measure, label_measure, label_size) of every row label that is a term with a measure."""
+    given = terms.where("term is not null and measure is not null").select("term_id", "term", "measure").collect()  # a fixed list
+
+    def read():
+        units, known = unit_index(), term_index(given)
+
+        def one(s):
+            found = read_label(s, known, units)
             return None if found is None else (found[0], found[1], *(found[2] or (None, None)))
 
-        return read
+        return one
 
-    return _mapped(spelled, "spelling string, unit_measure string, size double", units), _mapped(cells.select("label").where("label is not null").distinct(), "label string, term_id bigint, measure string, label_measure string, label_size double", labels)
+    return _mapped(labels.where("label is not null").distinct(), "label string, term_id bigint, measure string, label_measure string, label_size double", read)
 
 
 def figures(tables: DataFrame, terms: DataFrame) -> DataFrame:
     """Every figure of a measured term in the common unit: (doc_id, page, table_id, cell_id, term_id, measure, year, number, value)."""
-    cells = materialize(parsed(body_cells(tables)))  # read for both dictionaries and the join
-    units, labels = alias_dictionaries(cells, terms)
-    units, labels = _checked(units), _checked(labels)
-    out = cells.join(labels, "label")
+    side = F.filter("cells", lambda c: (c.col == 0) & (c.row > 0) & c.text.isNotNull())
+    labels = label_dictionary(tables.select(F.explode(F.transform(side, lambda c: c.text)).alias("label")), terms)
+    cells = materialize(parsed(table_rows(tables).join(small(labels, DICTIONARY_BROADCAST), "label").drop("label")))  # read for the dictionary of units and the join
+    units, out = small(unit_dictionary(cells), DICTIONARY_BROADCAST), cells
     for place in ("cell", "header", "corner", "caption"):
         out = out.join(units.select(F.col("spelling").alias(f"{place}_unit"), F.col("unit_measure").alias(f"{place}_measure"), F.col("size").alias(f"{place}_size")), f"{place}_unit", "left")
     plain = F.col("cell_unit").isNull() | F.col("cell_measure").isNotNull()  # something else after the number: no plain figure
     stated = lambda p: F.when(F.col(f"{p}_measure") == F.col("measure"), F.col(f"{p}_size"))
     money = F.when(F.col("measure") == "money", F.coalesce(stated("corner"), stated("caption")))
     size = F.coalesce(stated("cell"), F.when(F.col("cell_measure").isNull(), F.coalesce(stated("label"), stated("header"), money)))
-    out = out.where(plain).withColumn("value", F.col("number") * size).where("value is not null")
     cell_id = F.concat("table_id", F.lit("-r"), F.col("row").cast("string"), F.lit("c"), F.col("col").cast("string"))
-    latest = W.partitionBy("cell_id").orderBy(F.desc_nulls_last("parsed_at"), "value")
-    out = out.withColumn("cell_id", cell_id).withColumn("delivery", F.row_number().over(latest)).where("delivery = 1")
+    out = out.where(plain).withColumn("value", F.col("number") * size).where("value is not null").withColumn("cell_id", cell_id)
     return out.select("doc_id", "page", "table_id", "cell_id", "term_id", "measure", "year", "number", "value")
 
 

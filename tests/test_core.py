@@ -377,7 +377,7 @@ def sheet(name, rows, caption=None, page=1):
     return (name, "d", page, caption, 1, [(r, c, t, None, None, 1, 1, None) for r, line in enumerate(rows) for c, t in enumerate(line)])
 
 
-@pytest.mark.parametrize("spelling,unit", [("万元", ("money", 1e4)), ("（单位：百万元）", ("money", 1e6)), ("RMB million unless stated", ("money", 1e6)), ("RMB'000", ("money", 1e3)), ("RMB 000", ("money", 1e3)), ("rmb bn", ("money", 1e9)), ("％", ("ratio", 0.01)), ("Kwh", ("energy", 1.0)), ("人民币亿元，另有注明除外", ("money", 1e8)), ("RMB millions", ("money", 1e6)), ("亿", None), ("备注", None), ("", None), (None, None), ("GWh", ("energy", 1e6)), ("MWh", ("energy", 1e3)), ("MW", ("power", 1e3)), ("RMB xn", None)])
+@pytest.mark.parametrize("spelling,unit", [("万元", ("money", 1e4)), ("（单位：百万元）", ("money", 1e6)), ("RMB million unless stated", ("money", 1e6)), ("RMB'000", ("money", 1e3)), ("RMB 000", ("money", 1e3)), ("rmb bn", ("money", 1e9)), ("％", ("ratio", 0.01)), ("Kwh", ("energy", 1.0)), ("人民币亿元，另有注明除外", ("money", 1e8)), ("RMB millions", ("money", 1e6)), ("亿", None), ("备注", None), ("", None), (None, None), ("tonne", ("mass", 1.0)), ("hectare", ("area", 1e4)), ("percnt", ("ratio", 0.01)), ("kilowatt", ("power", 1.0)), ("kWhs", ("energy", 1.0)), ("square metre", ("area", 1.0)), ("百分点", ("ratio", 0.01)), ("milion", ("money", 1e6)), ("RMB milion", ("money", 1e6)), ("gigawat hours", ("energy", 1e6)), ("Metric ton", ("mass", 1.0)), ("bilion", ("money", 1e9)), ("kWp", None), ("元/吨", None), ("万股", None), ("t/d", None), ("GWh", ("energy", 1e6)), ("MWh", ("energy", 1e3)), ("MW", ("power", 1e3)), ("RMB xn", None)])
 def test_units_are_read(spelling, unit):
     assert units.read_unit(spelling, units.unit_index()) == unit
 
@@ -404,6 +404,20 @@ def test_figures_and_contradictions(spark):
     assert units.figures(df.limit(0), terms).count() == 0 and units.figures(df, terms.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("label,term", [("毛 利 率", 2), ("营業收入", 1), ("EBITDA (调整後)", 3), ("ebitda", 4), ("EBITDA, RMB milion", 4), ("operating cash flows", 7), ("Operatng cash flow（百万元）", 7), ("营业外收入", None), ("毛利", None), ("EBITDA小计", None), ("风险提示", None), ("", None), ("(万元)", None)])
+def test_labels_are_read(spark, label, term):
+    index = units.term_index(spark.createDataFrame([(1, "营业收入", "money"), (2, "毛利率", "ratio"), (3, "EBITDA（调整后）", "money"), (4, "EBITDA", "money"), (7, "Operating cash flow", "money")], "term_id bigint, term string, measure string").collect())
+    found = units.read_label(label, index, units.unit_index())
+    assert (found and found[0]) == term
+
+
+def test_long_text_after_a_number_and_odd_places(spark):
+    cells = [(0, 0, "(元)"), (0, 1, "2022"), (0, 1, "2023"), (None, 1, "x"), (1, 1, "5 million yuan (unless otherwise stated)"), (1, 0, "营业收入"), (1, 2, "7"), (2, 0, "EBITDA"), (2, 1, "3"), (2, 1, "4"), (3, 1, "9"), (1_000_000, 0, "EBITDA"), (1_000_000, 1, "8 元")]
+    df = spark.createDataFrame([("t", "d", 1, None, 1, [(r, c, t, None, None, 1, 1, None) for r, c, t in cells])], TABLES)
+    got = {r.cell_id: (r.year, r.value) for r in units.figures(df, spark.createDataFrame(TERMS, "term_id bigint, term string, measure string")).collect()}
+    assert got == {"t-r2c1": (2023, 4.0), "t-r1000000c1": (2023, 8.0), "t-r1c1": (2023, 5e6)}
+
+
 def test_distance_keeps_scales_apart():
     assert units.weighted_distance("万元", "亿元") >= 3 and units.weighted_distance("RMB mn", "RMB bn") >= 1
     assert units.weighted_distance("kwh", "kWh") < 0.5 and units.weighted_distance("RMB '000", "RMB'000") < 0.2
