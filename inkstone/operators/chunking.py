@@ -36,7 +36,7 @@ def checked(size: int, overlap: int) -> tuple[int, int]:
     return size, overlap
 
 
-def latest(df: DataFrame, keys: list[str], at: str, most: int = 400_000) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], at: str | list[str], most: int = 400_000) -> DataFrame:
     """The last delivery of each key; rows with a null in their key are all kept.
 
     Only the keys are counted over the network; whole rows move for keys that were delivered more than once (few),
@@ -45,7 +45,7 @@ def latest(df: DataFrame, keys: list[str], at: str, most: int = 400_000) -> Data
     known = [F.col(k).isNotNull() for k in keys]
     again = materialize(df.where(reduce(and_, known)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys))
     again = small(again, most)
-    order = W.partitionBy(*keys).orderBy(F.desc_nulls_last(at))
+    order = W.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in ([at] if isinstance(at, str) else at)))
     last = df.join(again, keys, "left_semi").withColumn("_delivery", F.row_number().over(order)).where("_delivery = 1").drop("_delivery")
     return df.join(again, keys, "left_anti").unionByName(last)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,13 +29,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local session without one, as in tests, gets a new folder of its own."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None):
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(found)
         return found.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"inkstone-{uuid.uuid4().hex}"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
