@@ -3,11 +3,11 @@
 Method: recursive bisection. A span longer than the limit minus the overlap is cut at the strongest
 natural boundary near its midpoint (the middle half of the span; else the natural boundary nearest to
 the midpoint; else, a forced cut, at a line break, a clause end, a blank or the midpoint itself), and so
-are its halves; then each piece but the first gets the overlap in front.
+are its halves; then each piece but the first gets the overlap in front. The first piece has no overlap, so the
+first `overlap` characters of a text are not divided: every cut lies beyond them, and all overlaps are whole.
 
 Natural boundaries: the text's start and end, blank lines, and sentence ends with the closing quotes and
-brackets after them; if row ends are given (tables), these alone. Boundaries within the first `overlap`
-characters are no cuts, as the next piece would hold all of that piece.
+brackets after them; if row ends are given (tables), these alone.
 
 Defined results: items with a null or empty text, a null id, or no limit for their kind give no rows, and
 so do items within their limit. An item delivered again counts once (the latest by `at`). Extra columns
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.operators.chunking import latest
+
 CLOSERS = "\"'”’）)】]》〉」』〕｝}»"
 _C = f"[{re.escape(CLOSERS)}]*"
 NATURAL = re.compile(rf"(\n\s*\n)|[。！？]{_C}|[.!?]{_C}(?=\s|\Z)")
@@ -51,7 +53,7 @@ def longest_stretch(boundaries: dict[int, int]) -> int:
 
 
 def cut_positions(text: str, limit: int, overlap: int, boundaries: dict[int, int]) -> list[int]:
-    """Starts of the pieces' own parts and the text's end; each part has at most limit - overlap characters."""
+    """The text's start, the cuts and its end; from `overlap` on, no part has more than limit - overlap characters."""
     room = max(1, limit - overlap)
     strong = sorted(p for p, s in boundaries.items() if s == 2 and overlap < p < len(text))
     every = sorted(p for p in boundaries if overlap < p < len(text))
@@ -79,17 +81,17 @@ def cut_positions(text: str, limit: int, overlap: int, boundaries: dict[int, int
         p = int(middle)
         while p > a + 1 and MARK.match(text, p):  # keep a mark with its letter
             p -= 1
-        return p
+        return p if not MARK.match(text, p) else int(middle)
 
-    out, spans = [], [(0, len(text))]
+    out, spans = [], [(overlap, len(text))]
     while spans:
         a, b = spans.pop()
         if b - a <= room or b - a < 2:
-            out.append(a)
+            out.append(b)
         else:
             p = choose(a, b)
             spans += [(p, b), (a, p)]
-    return [*sorted(out), len(text)]
+    return [0, *sorted(out)]
 
 
 def split_text(text: str, limit: int, overlap: int, row_ends: list[int] | None = None) -> tuple[str, list[tuple[int, int]]]:
@@ -120,12 +122,9 @@ def items(pages: DataFrame, tables: DataFrame) -> DataFrame:
 
 def split_items(things: DataFrame, limits: DataFrame, with_text: bool = True) -> DataFrame:
     """The pieces of all oversized items. limits (item_kind, max_chars, overlap_chars) has a row per kind, so it is broadcast."""
-    over = (
-        things.select("item_kind", "item_id", "text", "row_ends", "at").join(F.broadcast(limits.where("max_chars is not null").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))), "item_kind")
-        .where((F.length("text") > F.col("max_chars")) & F.col("item_id").isNotNull())
-        .groupBy("item_kind", "item_id").agg(F.max_by(F.struct("text", "row_ends", "max_chars", "overlap_chars"), F.struct("at", "text")).alias("x"))
-        .select("item_kind", "item_id", "x.*")
-    )
+    bounds = limits.where("max_chars is not null").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
+    over = things.select("item_kind", "item_id", "text", "row_ends", "at").join(F.broadcast(bounds), "item_kind").where((F.length("text") > F.col("max_chars")) & F.col("item_id").isNotNull())
+    over = latest(over, ["item_kind", "item_id"], ["at", "text"]).select("item_kind", "item_id", "text", "row_ends", "max_chars", "overlap_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,3 +136,16 @@ def split_items(things: DataFrame, limits: DataFrame, with_text: bool = True) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["item_kind", "item_id", "cut", "piece", "pieces", "start", "end", "text"])
 
     return over.mapInArrow(run, OUT)
+
+
+def rebuilt(pieces: DataFrame) -> DataFrame:
+    """(item_kind, item_id, text, longest, overlaps) of every item, its text put together again from the pieces without what they have in common.
+
+    longest is the length of its longest piece, overlaps how many different overlaps it has.
+    """
+    one = F.struct("piece", "start", "end", "text")
+    held = pieces.groupBy("item_kind", "item_id").agg(F.array_sort(F.collect_list(one)).alias("all"))  # the pieces of one item
+    before = lambda k: F.coalesce(F.get("all", k - 1).end, F.lit(0))
+    own = F.transform("all", lambda p, k: F.substring(p.text, before(k) - p.start + 1, F.length(p.text)))
+    shared = F.array_distinct(F.filter(F.transform("all", lambda p, k: F.when(k > 0, before(k) - p.start)), lambda n: n.isNotNull()))
+    return held.select("item_kind", "item_id", F.array_join(own, "").alias("text"), F.array_max(F.transform("all", lambda p: F.length(p.text))).alias("longest"), shared.alias("overlaps"))

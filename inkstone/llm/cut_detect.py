@@ -7,7 +7,8 @@ length's distance to limits is trained on them, trained again (twice) without th
 and scores every record.
 
 A source's limits are the lengths that far more of its values have than neighbouring lengths: they are
-counted over all documents. Training takes the documents
+counted over all documents. The features are of how a text ends, so they are taken from its last `TAIL` characters
+and its length; nothing before these is looked at. Training takes the documents
 with a hash under a bound that lets about `sample` of them through, and no more than `sample`.
 
 Defined results: a null or blank text is not cut (score 0); a document delivered again counts once, a null
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.session import materialize
+
 #: Documents the model is trained on, about and at most.
 SAMPLE = 10_000
 #: Values as they are that score at least this are left out when the model is trained again.
@@ -105,19 +108,26 @@ def score(w: np.ndarray, row: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(w[row].sum(), -30, 30))))
 
 
-def length_limits(documents: DataFrame, least: int = 4) -> dict[str, tuple[int, ...]]:
-    """Lengths that stand out in each source, over all documents; a few per source reach the driver.
+def length_counts(documents: DataFrame) -> DataFrame:
+    """(source, size, n) of all texts, and n of the null ones without a size; written to the shared folder, as it is read several times."""
+    return materialize(documents.groupBy(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def length_limits(counts: DataFrame, least: int = 4) -> dict[str, tuple[int, ...]]:
+    """Lengths that stand out in each source, over all documents; a row per source reaches the driver.
 
-    A length stands out if at least `least` values, and 8 times as many as on average within 50 characters of it, have it.
+    A length stands out if at least `least` values, and 8 times as many as on average within 50 characters of it,
+    have it; kept are all that have at least a quarter of the values of the source's most frequent one.
     """
-    counts = documents.where("text is not null").groupBy(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("size")).agg(F.count("*").alias("n"))
+    counts = counts.where("size is not null")
     band = counts.withColumn("band", F.explode(F.array(F.floor(F.col("size") / 50) - 1, F.floor(F.col("size") / 50), F.floor(F.col("size") / 50) + 1))).groupBy("source", "band").agg(F.sum("n").alias("around"))
     peaks = counts.where(F.col("n") >= least).withColumn("band", F.floor(F.col("size") / 50)).join(band, ["source", "band"]).where(F.col("n") - 1 > 8 * (F.col("around") - F.col("n")) / 149)
-    best = peaks.groupBy("source").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "size")), False), 1, 8).alias("best"))
-    return {r.source: tuple(sorted(x["size"] for x in r.best if x["n"] * 4 >= r.best[0]["n"])) for r in best.collect()}
+    top = peaks.groupBy("source").agg(F.max("n").alias("most"))
+    kept = peaks.join(top, "source").where(F.col("n") * 4 >= F.col("most")).groupBy("source").agg(F.collect_list("size").alias("sizes"))
+    return {r.source: tuple(sorted(r.sizes)) for r in kept.collect()}
 
 
-def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], total: int, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature rows and labels: the values as they are, and artificially cut ones."""
     row = F.create_map(*(F.lit(x) for kv in limits.items() for x in (kv[0], kv[1][-1]))) if limits else F.create_map().cast("map<string,int>")
     size = F.length("text")
@@ -125,7 +135,7 @@ def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], sample: in
     dice = F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(1000)) / 1000
     cut = F.when((limit > 0) & (limit < size) & (F.pmod(F.xxhash64("doc_id", F.lit("at")), F.lit(2)) == 0), limit).otherwise((size * (0.3 + 0.69 * dice)).cast("int"))
     usable = documents.where("doc_id is not null")
-    share = min(1.0, sample / max(1, usable.count()))
+    share = min(1.0, sample / max(1, total))
     rows = (
         usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).withColumn("text", F.coalesce("text", F.lit(""))).where(F.length(F.trim("text")) > 0).withColumn("cut", cut)
         .select("source", F.expr(f"right(text, {TAIL})").alias("tail"), size.alias("size"), "cut", F.expr(f"substring(text, greatest(cut - {TAIL}, 0) + 1, least(cut, {TAIL}))").alias("head"), F.expr("substring(text, cut + 1, 3)").alias("next"), F.xxhash64("doc_id").alias("h"), "doc_id")
@@ -155,8 +165,9 @@ def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], sample: in
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, tuple[int, ...]]]:
     documents = documents.select("doc_id", "source", "text")
-    limits = length_limits(documents)
-    x, y = _sample(documents, limits, sample)
+    counts = length_counts(documents)
+    limits, total = length_limits(counts), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    x, y = _sample(documents, limits, total, sample)
     w = train(x, y)
     for turn in range(2 if len(x) and y.any() else 0):
         sure = [k for k in range(len(x)) if y[k] or score(w, x[k]) < DOUBT]

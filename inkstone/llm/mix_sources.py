@@ -18,39 +18,52 @@ without documents has 0 tokens. Ties in finish time go by source, id and copy. E
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from inkstone.session import materialize
+from inkstone.session import materialize, small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that belongs to the rank file and splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Hash ranges a source is summed in.
 RANGES = 4096
+#: Rows of targets, and of sums of ranges, up to which a join broadcasts them; beyond, it shuffles.
+TARGETS, SUMS = 10_000, 200_000
 _encoders: dict[str, object] = {}
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def encoder(path: str):
-    """The tokenizer of a rank file, loaded once per worker."""
+    """The tokenizer of a rank file that was sent along, loaded once per worker."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
+        with open(SparkFiles.get(os.path.basename(path)), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+def send(spark: SparkSession, path: str) -> None:
+    """The driver's rank file goes to the workers, which need not have it; a second time this does nothing."""
+    sent = spark.sparkContext.__dict__.setdefault("_inkstone_sent", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+
+
 def with_tokens(df: DataFrame, column: str = "text", into: str = "tokens", tokenizer: str = TOKENIZER) -> DataFrame:
     """df without its text, with the number of tokens of it (0 for a null)."""
+    send(df.sparkSession, tokenizer)
     keep = [c for c in df.columns if c not in (column, into)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(into, T.LongType())])
 
@@ -75,12 +88,12 @@ def schedule(sized: DataFrame, targets: DataFrame, seed: int = 0, ranges: int =
     """(source, doc_id, tokens, through, total, target_share, max_repeats): tokens given through the document in a round, and in a round."""
     weights = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(1)), F.lit(0)).alias("max_repeats"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sized.where("doc_id is not null and tokens > 0").join(F.broadcast(weights), "source").withColumn("place", place).withColumn("range", F.pmod("place", F.lit(ranges)))  # a row per source: small
+    rows = sized.where("doc_id is not null and tokens > 0").join(small(weights, TARGETS), "source").withColumn("place", place).withColumn("range", F.pmod("place", F.lit(ranges)))
     sums = rows.groupBy("source", "range").agg(F.sum("tokens").alias("in_range"))
     by = W.partitionBy("source").orderBy("range")  # at most `ranges` rows a source
-    sums = sums.withColumn("before", F.sum("in_range").over(by) - F.col("in_range")).withColumn("total", F.sum("in_range").over(W.partitionBy("source")))
+    sums = materialize(sums.withColumn("before", F.sum("in_range").over(by) - F.col("in_range")).withColumn("total", F.sum("in_range").over(W.partitionBy("source"))))
     inside = W.partitionBy("source", "range").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("inside", F.sum("tokens").over(inside)).join(F.broadcast(sums), ["source", "range"]).select("source", "doc_id", "tokens", (F.col("before") + F.col("inside")).alias("through"), "total", "target_share", "max_repeats")  # sources x ranges rows: bounded
+    return rows.withColumn("inside", F.sum("tokens").over(inside)).join(small(sums, SUMS), ["source", "range"]).select("source", "doc_id", "tokens", (F.col("before") + F.col("inside")).alias("through"), "total", "target_share", "max_repeats")
 
 
 def ledger(planned: DataFrame, targets: DataFrame, budget: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,16 +62,31 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, True)
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The oversized items put together again from their pieces, and whether these keep the limit and the overlap."""
+    whole, limits = bisect_split.rebuilt(p4_pieces(spark, d)), table(spark, d, "split_limits")
+    kept = (F.col("longest") <= F.col("max_chars")) & (F.size("overlaps") == 1) & (F.col("overlaps")[0] == F.coalesce("overlap_chars", F.lit(0)))
+    return whole.join(F.broadcast(limits), "item_kind").select("item_kind", "item_id", "text", kept.alias("kept"))  # a row per kind
+
+
+def p4_rebuilt_sql() -> str:
+    return f"WITH {_over_sql()} SELECT DISTINCT item_kind, item_id, text, true AS kept FROM over"
+
+
+def _over_sql() -> str:
+    return """things AS (
+  SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text, NULL AS rows FROM (SELECT unnest(sections) AS s FROM parsed_pages)
+  UNION ALL SELECT 'page', doc_id || '-p' || CASE WHEN length(page::VARCHAR) < 3 THEN lpad(page::VARCHAR, 3, '0') ELSE page::VARCHAR END, text, NULL FROM parsed_pages
+  UNION ALL SELECT 'table', table_id, array_to_string(list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL), chr(10)), list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL) FROM structured_tables
+), over AS (SELECT * FROM things JOIN split_limits USING (item_kind) WHERE length(text) > max_chars AND item_id IS NOT NULL)"""
+
+
 def p4_sql() -> str:
     closers = bisect_split.CLOSERS.replace("'", "''").replace("]", r"\]")
     mark = "chr(1)"
     broken = rf"""regexp_replace(regexp_replace(regexp_replace(text, '(\n\s*\n)', {mark} || '\1' || {mark}, 'g'), '([。！？][{closers}]*)', '\1' || {mark}, 'g'), '([.!?][{closers}]*)(\s|{chr(1)})', '\1' || {mark} || '\2', 'g')"""
     return f"""
-WITH things AS (
-  SELECT 'section' AS item_kind, s.section_id AS item_id, s.text AS text, NULL AS rows FROM (SELECT unnest(sections) AS s FROM parsed_pages)
-  UNION ALL SELECT 'page', doc_id || '-p' || CASE WHEN length(page::VARCHAR) < 3 THEN lpad(page::VARCHAR, 3, '0') ELSE page::VARCHAR END, text, NULL FROM parsed_pages
-  UNION ALL SELECT 'table', table_id, array_to_string(list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL), chr(10)), list_filter(list_transform(protected_rows, lambda r: r.text), lambda t: t IS NOT NULL) FROM structured_tables
-), over AS (SELECT * FROM things JOIN split_limits USING (item_kind) WHERE length(text) > max_chars AND item_id IS NOT NULL),
+WITH {_over_sql()},
 stretches AS (SELECT item_kind, item_id, max_chars, CASE WHEN rows IS NULL THEN list_transform(string_split({broken}, {mark}), lambda x: length(x))
   ELSE list_transform(rows, lambda x, i: length(x) + CASE WHEN i > 1 THEN 1 ELSE 0 END) END AS sizes FROM over)
 SELECT DISTINCT item_kind, item_id, CASE WHEN list_max(sizes) > max_chars THEN 'forced' ELSE 'boundary' END AS cut FROM stretches"""
@@ -93,11 +110,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+@cache
+def _compatible() -> tuple[str, str]:
+    pairs = {}
+    for cp in range(0x80, 0x30000):
+        n = unicodedata.normalize("NFKC", chr(cp)).casefold()
+        if len(n) == 1 and n != chr(cp) and not unicodedata.combining(chr(cp)):
+            pairs[chr(cp)] = n
+    return "".join(pairs), "".join(pairs.values())
+
+
+def skeleton(c: str) -> str:
+    """Letters and digits of a text, compatibility forms and case aside (characters that become several are left as they are)."""
+    return f"regexp_replace(lower(translate(nfc_normalize({c}), {S.text(_compatible()[0])}, {S.text(_compatible()[1])})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
 def p6_sql() -> str:
     """Every stretch of half an answer, and every query, looked for in every document."""
     return f"""
-WITH d AS (SELECT doc_id, {S.skeleton("text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-i AS (SELECT item_id, {S.skeleton("coalesce(query, '')")} AS q, {S.skeleton("coalesce(answer, '')")} AS a FROM eval_items WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id, {skeleton("text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, {skeleton("coalesce(query, '')")} AS q, {skeleton("coalesce(answer, '')")} AS a FROM eval_items WHERE item_id IS NOT NULL),
 w AS (SELECT item_id, substring(a, k, (length(a) + 1) // 2) AS p FROM (SELECT item_id, a, unnest(generate_series(1, length(a) - (length(a) + 1) // 2 + 1)) AS k FROM i WHERE a <> '') UNION SELECT item_id, q FROM i WHERE q <> '')
 SELECT DISTINCT doc_id, item_id FROM d JOIN w ON contains(d.t, w.p)"""
 
@@ -138,6 +170,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_detect.rates(_scored(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql, "p6_found": p6_sql}
+SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql, "p4_rebuilt": p4_rebuilt_sql, "p6_found": p6_sql}

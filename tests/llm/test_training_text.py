@@ -162,7 +162,7 @@ def test_statistics_have_tail_flags(spark):
 # --- 4: splitting
 
 
-@pytest.mark.parametrize("limit,overlap", [(100, 20), (60, 0), (512, 80)])
+@pytest.mark.parametrize("limit,overlap", [(100, 20), (60, 0), (512, 80), (100, 80), (50, 49)])
 def test_pieces_hold_together(limit, overlap):
     for n in (limit + 1, 5 * limit, 3000):
         text = prose(n)
@@ -173,6 +173,15 @@ def test_pieces_hold_together(limit, overlap):
         assert cut == ("forced" if max(len(x) for x in re.split(r"(?<=。)", text)) > limit else "boundary")
 
 
+@pytest.mark.parametrize("limit,overlap", [(100, 80), (100, 0), (10, 9), (7, 3), (1, 0), (2, 1)])
+def test_forced_cuts_keep_the_overlap(limit, overlap):
+    for text in ("x" * 250, "e\u0301" * 130, "a b" * 90, "字，" * 120):
+        cut, pieces = SP.split_text(text, limit, overlap)
+        assert cut == "forced" and pieces[0][0] == 0 and pieces[-1][1] == len(text)
+        assert all(0 < b - a <= limit for a, b in pieces) and all(p[1] - q[0] == overlap and p[0] < q[0] and p[1] < q[1] for p, q in zip(pieces, pieces[1:]))
+    assert len(SP.split_text("x" * 250, 100, 80)[1]) <= 17
+
+
 def test_cuts_fall_on_natural_boundaries():
     text = "\n\n".join("句子一二三四五六七八九十。" * 3 for _ in range(8))
     _, pieces = SP.split_text(text, 90, 0)
@@ -201,6 +210,8 @@ def test_split_items(spark):
     rows = SP.split_items(things, limits).collect()
     assert {(r.item_id, r.cut) for r in rows} == {("s1", "boundary"), ("t", "forced")}
     assert sum(r.item_id == "s1" for r in rows) == max(r.piece for r in rows if r.item_id == "s1")
+    whole = {r.item_id: r for r in SP.rebuilt(SP.split_items(things, limits)).collect()}
+    assert whole["s1"].text == "句子。" * 100 and whole["s1"].longest <= 100 and whole["s1"].overlaps == [10] and whole["t"].text == "a" * 50 + "\n" + "b" * 90
     assert SP.split_items(things.limit(0), limits).count() == 0 and SP.split_items(things, limits.limit(0)).count() == 0
 
 
@@ -417,7 +428,9 @@ def test_held_out_accuracy(spark):
 
 def test_limits_stand_out(spark):
     docs = spark.createDataFrame([(k, "x", "a" * (100 if k % 10 == 0 else 50 + (k * 37) % 400)) for k in range(400)], "doc_id bigint, source string, text string")
-    assert CD.length_limits(docs) == {"x": (100,)}
+    assert CD.length_limits(CD.length_counts(docs)) == {"x": (100,)}
+    many = spark.createDataFrame([(k, "x", "a" * (100 + 200 * (k % 12))) for k in range(600)], "doc_id bigint, source string, text string")
+    assert CD.length_limits(CD.length_counts(many)) == {"x": tuple(range(100, 2400, 200))}
 
 
 def test_nfc_is_in_the_classes():
