@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
-
 from inkstone.functions.glyphs import look_alike_pairs
 
 BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -58,18 +55,3 @@ def looks(c: str) -> str:
     for a, b in more:
         c = f"replace({c}, {text(a)}, {text(b)})"
     return f"nfc_normalize(translate({c}, {text(''.join(one) + ''.join(drop))}, {text(''.join(one.values()))}))"
-
-
-@cache
-def _compatible() -> tuple[str, str]:
-    pairs = {}
-    for cp in range(0x80, 0x30000):
-        n = unicodedata.normalize("NFKC", chr(cp)).casefold()
-        if len(n) == 1 and n != chr(cp) and not unicodedata.combining(chr(cp)):
-            pairs[chr(cp)] = n
-    return "".join(pairs), "".join(pairs.values())
-
-
-def skeleton(c: str) -> str:
-    """Letters and digits of a text, compatibility forms and case aside (characters that become several are left as they are)."""
-    return f"regexp_replace(lower(translate(nfc_normalize({c}), {text(_compatible()[0])}, {text(_compatible()[1])})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
