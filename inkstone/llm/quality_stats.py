@@ -1,9 +1,12 @@
 """Problem 3: text statistics of every chunk, and the kind (prose, list, table, junk) that follows from them.
 
 Method: the statistics of all chunks go into mergeable quantile sketches (KLL), one per statistic and
-language; by their quantiles every value becomes a percentile and a robust z-score (distance from the median
-in units of the interquartile range), and values in a tail are flagged. Which tails mean which kind is
-learnt: a softmax regression on the scores and flags, fitted to hand-labelled chunks (at most `labels`).
+language, merged in two steps; by their quantiles every value becomes a percentile and a robust z-score (distance
+from the median in units of the interquartile range), and values in a tail are flagged. Which tails mean which kind
+is learnt: a softmax regression on the scores and flags, fitted to hand-labelled chunks (at most `labels`).
+
+The language is told by the script that has most letters. One with less than `OWN_SHARE` of all chunks has too few
+for quantiles of its own and is scored by those of its family, Chinese for Japanese, Latin for all others.
 
 Common words are those that occur in at least `COMMON` of a language's chunks (words are pairs of characters
 in Chinese and stretches of four elsewhere), counted over all chunks, as are rare characters.
@@ -28,12 +31,18 @@ from inkstone.session import materialize
 
 KINDS = ("prose", "list", "table", "junk")
 LABELS, COMMON, RARE, BUCKETS = 20_000, 0.02, 0.002, 1 << 17
-LANGUAGES = ("zh", "latin")
+#: Languages by their script, and the code points of each script but the first two; what has none of them is Latin.
+LANGUAGES = ("zh", "ja", "latin", "ko", "cyrillic", "greek", "arabic", "hebrew", "devanagari", "thai")
+SCRIPTS = {"ko": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7A3)), "cyrillic": ((0x400, 0x52F),), "greek": ((0x370, 0x3FF),), "arabic": ((0x600, 0x6FF), (0x750, 0x77F)), "hebrew": ((0x590, 0x5FF),), "devanagari": ((0x900, 0x97F),), "thai": ((0xE00, 0xE7F),)}
+OWN_SHARE = 0.01
 STATS = (
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "lines_ending_in_punctuation", "common_word_share", "rare_character_share", "mean_line_length", "line_length_spread",
     "sentence_ends", "clause_marks", "distinct_character_share", "latin1_share", "longest_run", "case_changes", "marker_lines", "leader_lines", "separators", "number_lines", "number_share", "markup_share", "bracket_share", "cased_share", "space_share", "inline_items",
 )
-GRID = [0.005, 0.01, 0.025, 0.05, *[k / 20 for k in range(2, 19)], 0.95, 0.975, 0.99, 0.995]
+#: Ranks at which the quantiles are taken, and the size of the sketches (their ranks are off by about 0.3 %).
+GRID = [k / 1000 for k in range(1001)]
+SKETCH = 1024
+PARTS = 64
 
 _SPACE, _LINE, _CJK, _LOWER, _UPPER, _DIGIT, _END, _CLAUSE, _OPEN, _LATIN1, _OTHER_LETTER, _SYMBOL = range(12)
 MARKER = re.compile(r"(?:[·•●◆■▪*\-–—○◇][ \t]*\S|[（(\[]?(?:\d{1,3}|[一二三四五六七八九十]{1,3}|[a-zA-Z]|[ivx]{1,4})[)）\].、．:：][ \t]*\D|[①-⑳])")
@@ -64,6 +73,19 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+def _scripts() -> np.ndarray:
+    out = np.zeros(0x110000, np.uint8)  # 0: no letter of these scripts
+    out[np.isin(CLASS, (_LOWER, _UPPER, _LATIN1))] = LANGUAGES.index("latin")
+    out[0x3041:0x3100] = LANGUAGES.index("ja")
+    for name, spans in SCRIPTS.items():
+        for lo, hi in spans:
+            out[lo : hi + 1] = LANGUAGES.index(name)
+    return out
+
+
+SCRIPT = _scripts()
+
+
 def _distinct(a: np.ndarray) -> np.ndarray:
     a = np.sort(a)
     return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
@@ -81,6 +103,15 @@ class _Batch:
         self.counts = np.bincount(self.row * 12 + self.kind, minlength=self.n * 12).reshape(self.n, 12)
         self.zh = self.counts[:, _CJK] * 3 > self.counts[:, _LOWER] + self.counts[:, _UPPER]
 
+    def languages(self) -> np.ndarray:
+        """The number of each text's language in LANGUAGES."""
+        seen = np.bincount(self.row * len(LANGUAGES) + SCRIPT[self.codes], minlength=self.n * len(LANGUAGES)).reshape(self.n, -1)
+        seen[:, 0] = 0
+        ja = seen[:, 1] * 10 >= seen[:, 1] + self.counts[:, _CJK]
+        seen[:, 1] = 0
+        other = np.where(seen.any(1), seen.argmax(1), LANGUAGES.index("latin"))
+        return np.where(self.zh, (ja & (self.counts[:, _CJK] > 0)).astype(int), other)
+
     def per_row(self, mask: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.row[: len(mask)][mask], weights, minlength=self.n)
 
@@ -124,7 +155,7 @@ def word_counts(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def statistics(texts: list[str], common: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The statistics of non-empty texts, a row each, and whether each is Chinese."""
+    """The statistics of non-empty texts, a row each, and the number of each one's language."""
     b = _Batch(texts)
     count = lambda *k: b.counts[:, list(k)].sum(1)
     shown = np.maximum(1, b.sizes - count(_SPACE, _LINE))
@@ -177,7 +208,7 @@ def statistics(texts: list[str], common: np.ndarray, rare: np.ndarray) -> tuple[
         count(_END) / shown, count(_CLAUSE) / shown, distinct / np.maximum(1, b.sizes), count(_LATIN1, _OTHER_LETTER) / shown, longest, change / np.maximum(1, letters), marked, leaders, cells, numeric, figures / np.maximum(1, words + figures), markup / shown, count(_OPEN) / shown,
         count(_UPPER) / np.maximum(1, letters), count(_SPACE) / np.maximum(1, b.sizes), inline,
     ]
-    return np.stack(values, 1).astype(np.float32), b.zh
+    return np.stack(values, 1).astype(np.float32), b.languages()
 
 
 def described(chunks: DataFrame) -> DataFrame:
@@ -196,36 +227,50 @@ def described(chunks: DataFrame) -> DataFrame:
             texts = batch.column(2).to_pylist()
             blank = [not t or not t.strip() for t in texts]
             values = np.zeros((len(texts), len(STATS)), np.float32)
-            zh = np.zeros(len(texts), bool)
+            language = np.full(len(texts), LANGUAGES.index("latin"))
             some = [k for k, x in enumerate(blank) if not x]
             full = [texts[k] for k in some]
             for x, y in slices(full):
-                values[some[x:y]], zh[some[x:y]] = statistics(full[x:y], frequent, seldom)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blank), pa.array(np.where(zh, *LANGUAGES)), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], schema.names)
+                values[some[x:y]], language[some[x:y]] = statistics(full[x:y], frequent, seldom)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blank), pa.array(np.array(LANGUAGES, object)[language], pa.string()), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATS)))], schema.names)
 
     return materialize(chunks.where("chunk_id is not null").select("chunk_id", "chunk_type", "text").mapInArrow(run, schema))
 
 
+def family(language: str) -> str:
+    return "zh" if language in ("zh", "ja") else "latin"
+
+
 def quantiles(stats: DataFrame) -> dict[str, np.ndarray]:
-    """Per language a row of quantiles at GRID for each statistic, from KLL sketches. A row per language reaches the driver."""
-    sketch = stats.where("not blank").groupBy("language").agg(*(F.kll_sketch_agg_float(s).alias(s) for s in STATS))
-    points = F.array(*(F.lit(float(q)) for q in GRID))
-    rows = sketch.select("language", *(F.kll_sketch_get_quantile_float(s, points).alias(s) for s in STATS)).collect()
-    return {r.language: np.array([list(r[s]) for s in STATS], float) for r in rows}
+    """Per language a row of quantiles at GRID for each statistic, from KLL sketches. A row per language (ten at most) reaches the driver.
+
+    Each language's chunks are sketched in parts, whose sketches are then merged; families from the languages' sketches.
+    """
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).alias("part")
+    parts = stats.where("not blank").groupBy("language", part).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_float(s, SKETCH).alias(s) for s in STATS))
+    own = materialize(parts.groupBy("language").agg(F.sum("n").alias("n"), *(F.kll_merge_agg_float(s, SKETCH).alias(s) for s in STATS)))
+    joint = own.groupBy(F.when(F.col("language").isin("zh", "ja"), "zh").otherwise("latin").alias("family")).agg(*(F.kll_merge_agg_float(s, SKETCH).alias(s) for s in STATS))
+    points = F.array(*(F.lit(q) for q in GRID))
+    at = [F.kll_sketch_get_quantile_float(s, points).alias(s) for s in STATS]
+    read = lambda r: np.array([list(r[s]) for s in STATS], float)
+    rows = own.select("language", "n", *at).collect()
+    pooled = {r.family: read(r) for r in joint.select("family", *at).collect()}
+    total = sum(r.n for r in rows)
+    return {r.language: read(r) if r.n >= OWN_SHARE * total else pooled[family(r.language)] for r in rows}
 
 
 def percentiles(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Ranks of values by the quantiles at GRID: between two quantiles in a straight line, of a value that several have the middle; beyond the ends half of what is left."""
+    """Ranks of values by the quantiles at GRID: between two quantiles in a straight line, of a value that several have the middle."""
     grid = np.array(GRID)
     lo, hi = np.searchsorted(q, v, "left"), np.searchsorted(q, v, "right")
-    between = np.interp(v, q, grid, left=grid[0] / 2, right=(1 + grid[-1]) / 2)
+    between = np.interp(v, q, grid, left=0.0, right=1.0)
     return np.where(hi > lo, (grid[np.minimum(lo, len(grid) - 1)] + grid[np.maximum(hi - 1, 0)]) / 2, between)
 
 
 def scores(values: np.ndarray, language: np.ndarray, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Percentiles and robust z-scores of rows of statistics."""
     percent, z = np.full(values.shape, 0.5), np.zeros(values.shape)
-    middle, low, high = GRID.index(0.5), GRID.index(0.25), GRID.index(0.75)
+    middle, low, high, p005, p05, p95, p995 = (GRID.index(x) for x in (0.5, 0.25, 0.75, 0.005, 0.05, 0.95, 0.995))
     for name, q in known.items():
         at = language == name
         if not at.any():
@@ -235,9 +280,9 @@ def scores(values: np.ndarray, language: np.ndarray, known: dict[str, np.ndarray
             percent[at, k] = percentiles(v, q[k])
             scale = (q[k, high] - q[k, low]) / 1.349
             if scale <= 0:
-                scale = (q[k, -4] - q[k, 3]) / 3.29
+                scale = (q[k, p95] - q[k, p05]) / 3.29
             if scale <= 0:
-                scale = max(abs(q[k, middle]) / 4, (q[k, -1] - q[k, 0]) / 4, 0.01)
+                scale = max(abs(q[k, middle]) / 4, (q[k, p995] - q[k, p005]) / 4, 0.01)
             z[at, k] = (v - q[k, middle]) / scale
     return percent, z
 

@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("inkstone.llm")
 
@@ -136,18 +137,31 @@ def test_scores_are_robust():
     assert np.allclose(z[0], 0) and (z[1] > 3).all() and (percent[1] > 0.97).all()
 
 
-def test_percentiles_and_tail_flags():
+def _exact(values):
+    """Middle ranks: the share of smaller values and half of the equal ones."""
+    order = np.sort(values)
+    return (np.searchsorted(order, values, "left") + np.searchsorted(order, values, "right")) / 2 / len(values)
+
+
+@pytest.mark.parametrize("kind", ["normal", "tied", "mostly zero"])
+def test_percentiles_against_exact_ranks(spark, kind):
     rng = np.random.default_rng(4)
-    x = np.sort(rng.normal(size=20_000))
-    q = np.quantile(x, QS.GRID)
-    known = {"zh": np.tile(q, (len(QS.STATS), 1))}
-    percent, _ = QS.scores(np.tile(x[:, None], (1, len(QS.STATS))), np.full(len(x), "zh", object), known)
-    assert np.abs(percent[:, 0] - (np.arange(len(x)) + 0.5) / len(x)).max() < 0.01
-    low, high = QS.tails(percent)
-    assert abs(low[:, 0].mean() - 0.025) < 0.001 and abs(high[:, 0].mean() - 0.025) < 0.001
-    tied = np.zeros(len(QS.GRID))
-    tied[-2:] = 1, 2
-    assert np.allclose(QS.percentiles(np.array([-1.0, 0.0, 0.5, 1.0, 9.0]), tied), [0.0025, 0.49, 0.9825, 0.99, 0.9975])
+    x = {"normal": rng.normal(size=30_000), "tied": rng.integers(0, 9, 30_000), "mostly zero": np.where(rng.random(30_000) < 0.96, 0, rng.random(30_000))}[kind].astype(np.float32)
+    rows = spark.createDataFrame([(f"c{k}", False, "ko" if k % 500 == 0 else "zh" if k % 3 else "latin", float(v)) for k, v in enumerate(x)], "chunk_id string, blank boolean, language string, v float")
+    known = QS.quantiles(rows.select("chunk_id", "blank", "language", *(F.col("v").alias(s) for s in QS.STATS)))
+    assert set(known) == {"zh", "latin", "ko"} and not np.array_equal(known["ko"], known["zh"])
+    for name, at in (("zh", [k % 500 != 0 and k % 3 != 0 for k in range(len(x))]), ("latin", [k % 500 != 0 and k % 3 == 0 for k in range(len(x))])):
+        percent, _ = QS.scores(np.tile(x[at, None], (1, len(QS.STATS))), np.full(sum(at), name, object), known)
+        exact = _exact(x[at])
+        assert np.abs(percent[:, 0] - exact).max() <= 0.01
+        low, high = QS.tails(percent)
+        assert ((exact < 0.02) <= low[:, 0]).all() and ((exact > 0.98) <= high[:, 0]).all() and (low[:, 0] <= (exact < 0.03)).all() and (high[:, 0] <= (exact > 0.97)).all()
+
+
+def test_languages():
+    texts = ["公司收入增长 EBITDA", "これは日本語の文章です", "hello world", "이것은 한국어", "это русский", "ελληνικά", "مرحبا", "12345", "שלום", "नमस्ते", "สวัสดี"]
+    _, found = QS.statistics(texts, np.zeros((2, QS.BUCKETS)), np.zeros(0x110000, bool))
+    assert [QS.LANGUAGES[k] for k in found] == ["zh", "ja", "latin", "ko", "cyrillic", "greek", "arabic", "latin", "hebrew", "devanagari", "thai"]
 
 
 def test_statistics_have_tail_flags(spark):
