@@ -84,3 +84,17 @@ def numbered(prefix: Column, mark: str, n: Column) -> Column:
     """prefix-mark001; numbers over 999 keep all their digits."""
     n = n.cast("string")
     return F.concat(prefix, F.lit(f"-{mark}"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")))
+
+
+def resolved(path: Column, root: str) -> Column:
+    """A path in full: a relative one under root, without empty, `.` and `..` parts. One with a scheme (s3://...) stays as it is."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
+    return F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def under(path: Column, folder: str) -> Column:
+    """A full path as it is seen from a folder, in full if it lies elsewhere."""
+    base = folder.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, len(base) + 1, F.length(path))).otherwise(path)

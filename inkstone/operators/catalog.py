@@ -1,15 +1,18 @@
 """Catalogue of documents: manifest records, files found, their union and differences, and validation.
 
-Defined results: null fields are empty texts; records without a path are dropped; a record without an id gets
-one made of its file's name; pages that are no whole number are null.
+Paths are compared in full (`resolved`), relative ones standing for files under the root. Defined results: null fields
+are empty texts; records without a path are dropped; a record without an id gets one made of its file's name; pages that
+are no whole number are null.
 """
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import stable_id, strip, to_int
+from inkstone.functions.text import resolved, stable_id, strip, to_int, under
 
 FIELDS = ("title", "industry", "doc_type", "year_month", "source_url", "notes")
 
@@ -18,49 +21,57 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
-def manifest_records(rows: DataFrame) -> DataFrame:
-    """Cleaned records: doc_id, file_path, the text fields, expected_pages, file_size_bytes."""
+def manifest_records(rows: DataFrame, root: str = "/") -> DataFrame:
+    """Cleaned records: doc_id, file_path, the text fields, expected_pages, file_size_bytes, resolved."""
     text = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
     path = text("file_path")
     return rows.where(F.length(path) > 0).select(
         F.coalesce(F.nullif(text("doc_id"), F.lit("")), stable_id(stem(path))).alias("doc_id"), path.alias("file_path"), *(text(c).alias(c) for c in FIELDS),
-        to_int(F.coalesce(F.col("pages").cast("string"), F.lit(""))).alias("expected_pages"), strip(F.coalesce(F.col("file_size_bytes").cast("string"), F.lit(""))).try_cast("bigint").alias("file_size_bytes"),
+        to_int(F.coalesce(F.col("pages").cast("string"), F.lit(""))).alias("expected_pages"), strip(F.coalesce(F.col("file_size_bytes").cast("string"), F.lit(""))).try_cast("bigint").alias("file_size_bytes"), resolved(path, root).alias("resolved"),
     )
 
 
-def discovered_records(files: DataFrame, root: str) -> DataFrame:
-    """Records of files (path, length) under root: the first folder is the industry, the name the title."""
-    inner = F.regexp_replace("path", "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+def metadata(records: DataFrame) -> DataFrame:
+    """(doc_id, source, metadata): what pages and chunks say of their document, once per id (of several records the first path's)."""
+    said = F.struct(*(F.col(c) for c in ("title", "industry", "doc_type", "year_month", "source_url", "expected_pages", "file_size_bytes", "notes")))
+    return records.groupBy("doc_id").agg(F.min_by(F.struct(F.col("file_path").alias("source"), said.alias("metadata")), "file_path").alias("x")).select("doc_id", "x.*")
+
+
+def discovered_records(files: DataFrame, raw_dir: str, root: str = "/") -> DataFrame:
+    """Records of files (path, length) under raw_dir, in the columns of manifest_records: the first folder is the industry, the name the title."""
+    full = resolved(F.col("path"), root)
+    inner = under(full, posixpath.normpath(posixpath.join(root, raw_dir)))
     empty = F.lit("")
+    texts = {"title": stem(full), "industry": F.when(inner.contains("/") & ~inner.startswith("/"), F.substring_index(inner, "/", 1)).otherwise(empty), "doc_type": F.lit("pdf")}
     return files.select(
-        stable_id(stem(F.col("path"))).alias("doc_id"), F.col("path").alias("file_path"), stem(F.col("path")).alias("title"), F.when(inner.contains("/"), F.substring_index(inner, "/", 1)).otherwise(empty).alias("industry"),
-        F.lit("pdf").alias("doc_type"), empty.alias("year_month"), empty.alias("source_url"), empty.alias("notes"), F.lit(None).cast("int").alias("expected_pages"), F.col("length").cast("bigint").alias("file_size_bytes"),
+        stable_id(stem(full)).alias("doc_id"), under(full, root).alias("file_path"), *(texts.get(c, empty).alias(c) for c in FIELDS),
+        F.lit(None).cast("int").alias("expected_pages"), F.col("length").cast("bigint").alias("file_size_bytes"), full.alias("resolved"),
     )
 
 
 def unlisted(found: DataFrame, listed: DataFrame) -> DataFrame:
-    return found.join(listed.select("file_path"), "file_path", "left_anti")
+    return found.join(listed.select("resolved"), "resolved", "left_anti")
 
 
 def missing(listed: DataFrame, found: DataFrame) -> DataFrame:
-    return listed.join(found.select("file_path"), "file_path", "left_anti")
+    return listed.join(found.select("resolved"), "resolved", "left_anti")
 
 
 def documents(listed: DataFrame, found: DataFrame, include_unlisted: bool = True) -> DataFrame:
     """Listed records and, if wanted, files that are not listed; of both those that exist."""
-    there = listed.join(found.select("file_path"), "file_path", "left_semi").select(*listed.columns)
-    return there.unionByName(unlisted(found, listed)) if include_unlisted else there
+    there = listed.join(found.select("resolved"), "resolved", "left_semi").select(*listed.columns)
+    return there.unionByName(unlisted(found, listed).select(*listed.columns)) if include_unlisted else there
 
 
 def duplicates(records: DataFrame) -> DataFrame:
-    """(kind, value, n) of ids and paths listed more than once."""
+    """(kind, value, n) of ids, and of paths in full, listed more than once."""
     one = lambda kind, c: records.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(kind).alias("kind"), "value", "n")
-    return one("doc_id", "doc_id").unionByName(one("file_path", "file_path"))
+    return one("doc_id", "doc_id").unionByName(one("file_path", "resolved"))
 
 
 def by_group(records: DataFrame, found: DataFrame) -> DataFrame:
     """(grouping, name, files, pages, bytes, no_pages) by industry and by kind; bytes are those of files that exist."""
-    sized = records.join(found.groupBy("file_path").agg(F.max("file_size_bytes").alias("found_bytes")), "file_path", "left")
+    sized = records.join(found.groupBy("resolved").agg(F.max("file_size_bytes").alias("found_bytes")), "resolved", "left")
 
     def one(c: str) -> DataFrame:
         name = F.coalesce(F.nullif(c, F.lit("")), F.lit("(empty)"))

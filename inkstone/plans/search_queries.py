@@ -15,13 +15,17 @@ from inkstone.session import table
 from inkstone.streaming import pages as P
 
 
+ROOT, RAW = "/srv/corpus", "data/raw"
+
+
 def _records(spark, d):
-    return K.manifest_records(table(spark, d, "doc_manifest"))
+    return K.manifest_records(table(spark, d, "doc_manifest"), ROOT)
 
 
 def _found(spark, d):
-    """The documents that have pages stand in for the files on disk; each compilation page counts 1,000 bytes."""
-    return table(spark, d, "parsed_pages").groupBy(F.col("source").alias("path")).agg((F.countDistinct("page") * 1000).alias("length")).select(F.col("path").alias("file_path"), F.col("length").cast("bigint").alias("file_size_bytes"))
+    """The documents that have pages stand in for the files on disk; each page counts 1,000 bytes."""
+    files = table(spark, d, "parsed_pages").groupBy(F.concat(F.lit(f"{ROOT}/"), F.col("source")).alias("path")).agg((F.countDistinct("page") * 1000).alias("length"))
+    return K.discovered_records(files, RAW, ROOT)
 
 
 def manifest_records(spark, d):
@@ -29,15 +33,16 @@ def manifest_records(spark, d):
 
 
 def manifest_discovered(spark, d):
-    files = _found(spark, d).select(F.col("file_path").alias("path"), F.col("file_size_bytes").alias("length"))
-    return K.discovered_records(files, "data/raw").select("doc_id", "file_path", "title", "industry", "doc_type", "file_size_bytes")
+    return _found(spark, d).select("doc_id", "file_path", "title", "industry", "doc_type", "file_size_bytes", "resolved")
 
 
 def manifest_documents(spark, d):
-    """Records of one half of the manifest with all files: the rest comes out as not listed."""
-    listed = _records(spark, d).where("industry <> '政策'")
-    files = K.discovered_records(_found(spark, d).select(F.col("file_path").alias("path"), F.col("file_size_bytes").alias("length")), "data/raw")
-    return K.documents(listed, files.select(*listed.columns)).select("doc_id", "file_path", "title", "industry", "doc_type")
+    """All listed records whose file exists, and the files that are not listed."""
+    return K.documents(_records(spark, d), _found(spark, d)).select("doc_id", "file_path", "title", "industry", "doc_type")
+
+
+def manifest_metadata(spark, d):
+    return K.metadata(_records(spark, d)).select("doc_id", "source", "metadata.*")
 
 
 def manifest_missing(spark, d):
@@ -156,7 +161,7 @@ def answer_checks(spark, d):
 
 def query_expansion(spark, d):
     words = spark.createDataFrame([("储能", "蓄能"), ("轮胎", "车胎"), ("ledger", "register")], "term string, synonym string")
-    return R.expanded(_questions(spark, d), words)
+    return R.expanded(table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query"), words)
 
 
 def stream_chunks(spark, d):
@@ -168,10 +173,10 @@ _STEM = "regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1
 _ID = "coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\.[a-z0-9]+$', ''), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'document')"
 _T = lambda c: S.strip(f"coalesce({c}::VARCHAR, '')")
 _RECORDS = f"""r AS (SELECT coalesce(nullif({_T("doc_id")}, ''), {_ID.format(_STEM.format(_T("file_path")))}) AS doc_id, {_T("file_path")} AS file_path, {", ".join(f"{_T(c)} AS {c}" for c in K.FIELDS)},
-  CASE WHEN regexp_matches({_T("pages")}, '^[+-]?\\d+$') THEN try_cast({_T("pages")} AS INTEGER) END AS expected_pages, try_cast({_T("file_size_bytes")} AS BIGINT) AS file_size_bytes FROM doc_manifest WHERE length({_T("file_path")}) > 0),
-f AS (SELECT source AS file_path, count(DISTINCT page) * 1000 AS length FROM parsed_pages GROUP BY 1),
-disc AS (SELECT {_ID.format(_STEM.format("file_path"))} AS doc_id, file_path, {_STEM.format("file_path")} AS title, CASE WHEN contains(replace(file_path, 'data/raw/', ''), '/') THEN split_part(replace(file_path, 'data/raw/', ''), '/', 1) ELSE '' END AS industry, 'pdf' AS doc_type, length AS file_size_bytes FROM f)"""
-_GROUP = lambda c: f"SELECT '{c}' AS grouping, coalesce(nullif({c}, ''), '(empty)') AS name, count(*) AS files, coalesce(sum(expected_pages), 0)::BIGINT AS pages, coalesce(sum(f.length), 0)::BIGINT AS bytes, count_if(expected_pages IS NULL)::BIGINT AS no_pages FROM r LEFT JOIN f USING (file_path) GROUP BY 2"
+  CASE WHEN regexp_matches({_T("pages")}, '^[+-]?\\d+$') THEN try_cast({_T("pages")} AS INTEGER) END AS expected_pages, try_cast({_T("file_size_bytes")} AS BIGINT) AS file_size_bytes, CASE WHEN starts_with({_T("file_path")}, '/') THEN {_T("file_path")} ELSE '{ROOT}/' || {_T("file_path")} END AS resolved FROM doc_manifest WHERE length({_T("file_path")}) > 0),
+f AS (SELECT source AS file_path, '{ROOT}/' || source AS resolved, count(DISTINCT page) * 1000 AS length FROM parsed_pages GROUP BY 1),
+disc AS (SELECT {_ID.format(_STEM.format("file_path"))} AS doc_id, file_path, {_STEM.format("file_path")} AS title, CASE WHEN contains(replace(file_path, 'data/raw/', ''), '/') THEN split_part(replace(file_path, 'data/raw/', ''), '/', 1) ELSE '' END AS industry, 'pdf' AS doc_type, length AS file_size_bytes, resolved FROM f)"""
+_GROUP = lambda c: f"SELECT '{c}' AS grouping, coalesce(nullif({c}, ''), '(empty)') AS name, count(*) AS files, coalesce(sum(expected_pages), 0)::BIGINT AS pages, coalesce(sum(f.length), 0)::BIGINT AS bytes, count_if(expected_pages IS NULL)::BIGINT AS no_pages FROM r LEFT JOIN f USING (resolved) GROUP BY 2"
 _TOP = "SELECT q.vec_id AS query_id, (row_number() OVER w)::INT AS rank, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, q.label AS asked, v.label AS label FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 {0} WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id)"
 
 
@@ -210,18 +215,19 @@ def _stream_sql() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    manifest_records, manifest_discovered, manifest_documents, manifest_missing, manifest_duplicates, manifest_by_group, manifest_validation, vector_normalize, vector_topk, vector_label_recall, ivf_topk, ivf_recall,
+    manifest_records, manifest_discovered, manifest_documents, manifest_metadata, manifest_missing, manifest_duplicates, manifest_by_group, manifest_validation, vector_normalize, vector_topk, vector_label_recall, ivf_topk, ivf_recall,
     bm25_topk, rerank_topk, dense_topk, hybrid_topk, fused_topk, chunk_search, retrieval_recall, retrieval_citations, citation_hit_rate, answer_checks, query_expansion, stream_chunks,
 )}
 SQL = {
     "manifest_records": lambda: f"WITH {_RECORDS} SELECT * FROM r",
     "manifest_discovered": lambda: f"WITH {_RECORDS} SELECT * FROM disc",
-    "manifest_documents": lambda: f"WITH {_RECORDS}, l AS (SELECT * FROM r WHERE industry <> '政策') SELECT doc_id, file_path, title, industry, doc_type FROM l SEMI JOIN f USING (file_path) UNION ALL SELECT doc_id, file_path, title, industry, doc_type FROM disc ANTI JOIN l USING (file_path)",
-    "manifest_missing": lambda: f"WITH {_RECORDS} SELECT doc_id, file_path FROM r ANTI JOIN f USING (file_path)",
-    "manifest_duplicates": lambda: f"WITH {_RECORDS} SELECT 'doc_id' AS kind, doc_id AS value, count(*) AS n FROM r GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'file_path', file_path, count(*) FROM r GROUP BY 2 HAVING count(*) > 1",
+    "manifest_documents": lambda: f"WITH {_RECORDS} SELECT doc_id, file_path, title, industry, doc_type FROM r SEMI JOIN f USING (resolved) UNION ALL SELECT doc_id, file_path, title, industry, doc_type FROM disc ANTI JOIN r USING (resolved)",
+    "manifest_metadata": lambda: f"WITH {_RECORDS} SELECT doc_id, file_path AS source, title, industry, doc_type, year_month, source_url, expected_pages, file_size_bytes, notes FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY file_path) = 1",
+    "manifest_missing": lambda: f"WITH {_RECORDS} SELECT doc_id, file_path FROM r ANTI JOIN f USING (resolved)",
+    "manifest_duplicates": lambda: f"WITH {_RECORDS} SELECT 'doc_id' AS kind, doc_id AS value, count(*) AS n FROM r GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'file_path', resolved, count(*) FROM r GROUP BY 2 HAVING count(*) > 1",
     "manifest_by_group": lambda: f"WITH {_RECORDS} {_GROUP('industry')} UNION ALL {_GROUP('doc_type')}",
-    "manifest_validation": lambda: f"""WITH {_RECORDS}, x AS (SELECT (SELECT count(*) FROM r) AS manifest_records, (SELECT count(*) FROM f) AS raw_files, (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY 1 HAVING count(*) > 1)) AS duplicate_doc_ids, (SELECT count(*) FROM (SELECT file_path FROM r GROUP BY 1 HAVING count(*) > 1)) AS duplicate_paths,
-      (SELECT count(*) FROM r ANTI JOIN f USING (file_path)) AS missing_paths, (SELECT count(*) FROM f ANTI JOIN r USING (file_path)) AS unlisted_files) SELECT *, CASE WHEN duplicate_doc_ids + duplicate_paths + missing_paths + unlisted_files > 0 THEN 'FAIL' ELSE 'OK' END AS status FROM x""",
+    "manifest_validation": lambda: f"""WITH {_RECORDS}, x AS (SELECT (SELECT count(*) FROM r) AS manifest_records, (SELECT count(*) FROM f) AS raw_files, (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY 1 HAVING count(*) > 1)) AS duplicate_doc_ids, (SELECT count(*) FROM (SELECT resolved FROM r GROUP BY 1 HAVING count(*) > 1)) AS duplicate_paths,
+      (SELECT count(*) FROM r ANTI JOIN f USING (resolved)) AS missing_paths, (SELECT count(*) FROM f ANTI JOIN r USING (resolved)) AS unlisted_files) SELECT *, CASE WHEN duplicate_doc_ids + duplicate_paths + missing_paths + unlisted_files > 0 THEN 'FAIL' ELSE 'OK' END AS status FROM x""",
     "vector_normalize": lambda: "SELECT vec_id AS id, round(1.0::DOUBLE, 6) AS length, round(list_max(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS largest FROM embeddings",
     "vector_topk": lambda: f"SELECT query_id, rank, id, round(score, 6) AS score FROM ({_TOP.format('')}) WHERE rank <= 5",
     "vector_label_recall": lambda: f"SELECT asked, count(*) AS results, round(avg(CASE WHEN label = asked THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_label FROM ({_TOP.format('AND q.vec_id <> v.vec_id')}) WHERE rank <= 5 GROUP BY 1",
@@ -237,7 +243,7 @@ SQL = {
     "citation_hit_rate": lambda: f"WITH {_bm25(_CHROWS, 5)}, h AS (SELECT q.query_id, bool_or(coalesce(c.doc_id = ground_truth_doc_id, false)) AS hit FROM q LEFT JOIN best USING (query_id) LEFT JOIN {_CH} c ON c.id = best.id WHERE ground_truth_doc_id IS NOT NULL GROUP BY 1) SELECT count(*) AS queries, round(avg(hit::INT::DOUBLE), 6) AS hit_rate FROM h",
     "answer_checks": lambda: f"""WITH {_bm25(_DOCS, 5)}, p AS (SELECT query_id, max(score) AS top, list_distinct(flatten(list({_NUMS("documents.text")}))) AS known FROM best JOIN documents ON documents.doc_id = best.id GROUP BY 1), a AS (SELECT query_id, {_NUMS("answer")} AS said FROM q),
       u AS (SELECT a.query_id, len(said)::INT AS numbers, len(list_filter(said, lambda n: NOT list_contains(coalesce(known, []), n)))::INT AS unsupported, top FROM a LEFT JOIN p USING (query_id)) SELECT query_id, numbers, unsupported, unsupported = 0 AS supported, coalesce(top, 0) < 20 AS abstain FROM u""",
-    "query_expansion": lambda: f"""WITH q AS (SELECT item_id AS query_id, query FROM eval_items WHERE item_id % 20 = 0), s(term, synonym) AS (VALUES ('储能', '蓄能'), ('轮胎', '车胎'), ('ledger', 'register')), w AS (SELECT query_id, query, unnest(list_distinct({_tok("query")})) AS term FROM q)
+    "query_expansion": lambda: f"""WITH q AS (SELECT item_id AS query_id, query FROM eval_items), s(term, synonym) AS (VALUES ('储能', '蓄能'), ('轮胎', '车胎'), ('ledger', 'register')), w AS (SELECT query_id, query, unnest(list_distinct({_tok("query")})) AS term FROM q)
       SELECT query_id, query FROM q UNION SELECT query_id, replace(lower(query), term, synonym) FROM w JOIN s USING (term)""",
     "stream_chunks": _stream_sql,
 }
