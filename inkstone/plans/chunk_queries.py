@@ -62,13 +62,30 @@ def chunks_all(spark, d):
     return C.chunk_pages(pages(spark, d), tables(spark, d), 512, 100).select("chunk_id", "doc_id", "page", "chunk_type", "has_table", "text")
 
 
+def _text(bbox):
+    """An array of doubles as a text of whole hundredths, so that it compares everywhere."""
+    return F.array_join(F.transform(bbox, lambda x: F.round(x * 100).cast("bigint").cast("string")), ",")
+
+
+def chunks_record(spark, d):
+    """The whole record of every chunk; arrays of structs by their sizes and ends."""
+    r = C.chunk_records(pages(spark, d), tables(spark, d), 512, 100)
+    flat = lambda what, *names: [F.col(f"{what}.{n}").alias(f"{what}_{n}") for n in names]
+    return r.select(
+        "chunk_id", "doc_id", "source", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "text", "chunk_type", "has_table", *flat("metadata", *C._fields(C.METADATA)),
+        *flat("section", "section_id", "layout_type", "layoutno", "col_id"), _text(F.col("section.bbox")).alias("section_bbox"), F.array_join("section.box_ids", ",").alias("section_box_ids"),
+        *flat("table", "table_id", "parent_table_id", "part_index", "part_count", "rows", "columns", "row_start", "row_end", "row_count", "caption", "source", "table_protection"), _text(F.col("table.bbox")).alias("table_bbox"),
+        F.array_join(F.transform("table.cells", lambda c: F.concat_ws(",", c.row, c.col, c.text)), ";").alias("table_cells"), F.array_join(F.transform("table.protected_rows", lambda x: F.concat_ws(",", x.row, x.text)), ";").alias("table_protected_rows"),
+    )
+
+
 def chunk_sweep(spark, d):
     return C.sweep(pages(spark, d), tables(spark, d))
 
 
 def chunk_stats(spark, d):
     chunks = C.latest(table(spark, d, "chunks"), ["chunk_id"], "text")
-    return C.chunk_stats(chunks.select("doc_id", "text", "chunk_type", "has_table", F.col("table_info.part_count").alias("part_count")))
+    return C.chunk_stats(chunks.select("doc_id", "text", "chunk_type", "has_table", F.col("table_info.part_count").alias("part_count"), F.col("table_info.table_protection").alias("table_protection")))
 
 
 def page_stats(spark, d):
@@ -120,19 +137,31 @@ page_chunks AS (SELECT {S.number_id(S.number_id("doc_id", "p", "page"), "c", "k"
 def _all_sql(size: int, overlap: int) -> str:
     return f"""{_sections_sql(size, overlap)}, {_parts_sql(size)},
 all_chunks AS (
-  SELECT chunk_id, doc_id, page, chunk_type, false AS has_table, text, NULL::INT AS part_count FROM section_chunks
-  UNION ALL SELECT chunk_id, doc_id, page, chunk_type, false, text, NULL FROM page_chunks WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM section_chunks)
-  UNION ALL SELECT c.chunk_id, t.doc_id, t.page, 'table', true, c.text, c.part_count FROM table_chunks c JOIN {S.TABLES} t USING (table_id))"""
+  SELECT chunk_id, doc_id, page, chunk_type, false AS has_table, text, NULL::INT AS part_count, NULL::VARCHAR AS table_protection FROM section_chunks
+  UNION ALL SELECT chunk_id, doc_id, page, chunk_type, false, text, NULL, NULL FROM page_chunks WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM section_chunks)
+  UNION ALL SELECT c.chunk_id, t.doc_id, t.page, 'table', true, c.text, c.part_count, 'row_boundary' FROM table_chunks c JOIN {S.TABLES} t USING (table_id))"""
 
 
 _STATS = """count(DISTINCT doc_id) AS doc_count, count(*) AS chunk_count, count_if(chunk_type = 'text')::BIGINT AS text_chunks, count_if(chunk_type = 'title')::BIGINT AS title_chunks, count_if(chunk_type = 'table')::BIGINT AS table_chunks, count_if(has_table)::BIGINT AS has_table_count,
-  count_if(has_table AND coalesce(part_count, 1) > 1)::BIGINT AS split_table_chunks, coalesce(round(avg(length(coalesce(text, ''))), 1), 0) AS avg_chars, coalesce(median(length(coalesce(text, ''))), 0)::DOUBLE AS median_chars, coalesce(max(length(coalesce(text, ''))), 0)::INT AS max_chars, round(count(*) / count(DISTINCT doc_id), 6) AS chunks_per_document"""
+  count_if(has_table AND coalesce(part_count, 1) > 1)::BIGINT AS split_table_chunks, count_if(has_table AND coalesce(table_protection, '') <> 'row_boundary')::BIGINT AS missing_protection, coalesce(round(avg(length(coalesce(text, ''))), 1), 0) AS avg_chars, coalesce(median(length(coalesce(text, ''))), 0)::DOUBLE AS median_chars, coalesce(max(length(coalesce(text, ''))), 0)::INT AS max_chars, round(count(*) / count(DISTINCT doc_id), 6) AS chunks_per_document"""
 
 
 def _sweep_sql() -> str:
     return " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_all_sql(a, b)} SELECT {a} AS chunk_size, {b} AS overlap, {_STATS} FROM all_chunks)" for a, b in C.CONFIGS)
 
 
+def _record_sql() -> str:
+    box = lambda c: f"array_to_string(list_transform({c}, lambda x: round(x * 100)::BIGINT::VARCHAR), ',')"
+    meta = ", ".join(f"p.metadata.{n} AS metadata_{n}" for n in C._fields(C.METADATA))
+    none = "NULL::VARCHAR AS table_table_id, NULL::VARCHAR AS table_parent_table_id, NULL::INT AS table_part_index, NULL::INT AS table_part_count, NULL::INT AS table_rows, NULL::INT AS table_columns, NULL::INT AS table_row_start, NULL::INT AS table_row_end, NULL::INT AS table_row_count, NULL::VARCHAR AS table_caption, NULL::VARCHAR AS table_source, NULL::VARCHAR AS table_table_protection, NULL::VARCHAR AS table_bbox, NULL::VARCHAR AS table_cells, NULL::VARCHAR AS table_protected_rows"
+    page = f"p AS {S.PAGES}, s AS (SELECT doc_id, page, unnest(sections) AS s FROM p)"
+    return f"""WITH RECURSIVE {_all_sql(512, 100)}, {page}
+SELECT c.chunk_id, c.doc_id, p.source, c.page::VARCHAR AS pages, c.text, c.chunk_type, false AS has_table, {meta}, k.section_id AS section_section_id, s.s.layout_type AS section_layout_type, s.s.layoutno AS section_layoutno, s.s.col_id AS section_col_id, {box("s.s.bbox")} AS section_bbox, CASE WHEN s.s.section_id IS NOT NULL THEN array_to_string(s.s.box_ids, ',') END AS section_box_ids, {none}
+  FROM all_chunks c JOIN p USING (doc_id, page) LEFT JOIN section_chunks k ON k.chunk_id = c.chunk_id LEFT JOIN s ON s.doc_id = k.doc_id AND s.page = k.page AND s.s.section_id = k.section_id WHERE NOT c.has_table
+UNION ALL SELECT c.chunk_id, t.doc_id, p.source, t.page::VARCHAR, c.text, 'table', true, {meta}, NULL, NULL, NULL, NULL, NULL, NULL, t.table_id, t.table_id, c.part_index, c.part_count, t.rows, t.columns, c.row_start, c.row_end, c.row_count, coalesce(t.caption, ''), t.source, 'row_boundary', {box("t.bbox")},
+  array_to_string(list_transform(t.cells, lambda x: concat_ws(',', x.row, x.col, x.text)), ';'), array_to_string(list_transform(t.protected_rows, lambda x: concat_ws(',', x.row, x.text)), ';') FROM table_chunks c JOIN {S.TABLES} t USING (table_id) LEFT JOIN p ON p.doc_id = t.doc_id AND p.page = t.page"""
+
+
 _B = S.bare("text")
 _N = S.strip("translate(text, ',%％', '')")
 _CHUNKS = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY text DESC) = 1)"
@@ -148,7 +177,7 @@ def _id_sql(c: str) -> str:
     return f"coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({S.strip(c)}), '\\.[a-z0-9]+$', ''), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'document')"
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_clean_line, text_stable_id, text_preview, text_predicates, split_windows, chunks_sections, chunks_fallback, chunks_tables, chunks_all, chunk_sweep, chunk_stats, page_stats, inspect_chunks, nonblank_chunks)}
+QUERIES = {f.__name__: f for f in (text_normalize, text_clean_line, text_stable_id, text_preview, text_predicates, split_windows, chunks_sections, chunks_fallback, chunks_tables, chunks_all, chunks_record, chunk_sweep, chunk_stats, page_stats, inspect_chunks, nonblank_chunks)}
 SQL = {
     "text_normalize": lambda: f"SELECT doc_id, {S.norm('text')} AS normalized FROM documents",
     "text_clean_line": lambda: f"SELECT {S.strip('replace(' + S.norm('text') + ', chr(10), chr(32))')} AS line, count(*) AS n FROM text_boxes WHERE text IS NOT NULL GROUP BY 1",
@@ -161,8 +190,9 @@ SQL = {
     "chunks_fallback": lambda: f"WITH {_sections_sql(512, 100)} SELECT * FROM page_chunks",
     "chunks_tables": lambda: f"WITH RECURSIVE {_parts_sql(512)} SELECT * FROM table_chunks",
     "chunks_all": lambda: f"WITH RECURSIVE {_all_sql(512, 100)} SELECT chunk_id, doc_id, page, chunk_type, has_table, text FROM all_chunks",
+    "chunks_record": _record_sql,
     "chunk_sweep": _sweep_sql,
-    "chunk_stats": lambda: f"SELECT {_STATS} FROM (SELECT *, table_info.part_count AS part_count FROM {_CHUNKS})",
+    "chunk_stats": lambda: f"SELECT {_STATS} FROM (SELECT *, table_info.part_count AS part_count, table_info.table_protection AS table_protection FROM {_CHUNKS})",
     "page_stats": lambda: f"""WITH p AS {S.PAGES}, t AS {S.TABLES} SELECT 'pages' AS what, 'all' AS name, count(*) AS n FROM p UNION ALL SELECT 'documents', 'all', count(DISTINCT doc_id) FROM p UNION ALL SELECT 'pages by industry', coalesce(nullif(metadata.industry, ''), '未标注'), count(*) FROM p GROUP BY 2
       UNION ALL SELECT 'tables', 'all', count(*) FROM t UNION ALL SELECT 'tables by source', coalesce(nullif(source, ''), 'unknown'), count(*) FROM t GROUP BY 2""",
     "inspect_chunks": lambda: f"SELECT chunk_id, doc_id, chunk_type, {_preview_sql('text')} AS preview FROM {_CHUNKS} WHERE contains(text, '营业收入') ORDER BY doc_id, chunk_id LIMIT 10",

@@ -17,9 +17,12 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 
 
 def chunk_stream(pages: DataFrame, size: int = 512, overlap: int = 100) -> DataFrame:
-    """Chunks of the pages' texts; late pages give late chunks, pages delivered again give their chunks again."""
-    one = chunking.section_chunks(pages, size, overlap).unionByName(chunking.fallback_chunks(pages, size, overlap))
-    return one.select("chunk_id", "doc_id", "page", "chunk_type", "text")
+    """Chunks of the pages' texts, and of the tables they hold; late pages give late chunks, pages delivered again give their chunks again."""
+    columns = ["chunk_id", "doc_id", "page", "chunk_type", "text"]
+    one = chunking.section_chunks(pages, size, overlap).unionByName(chunking.fallback_chunks(pages, size, overlap)).select(*columns)
+    if "tables" in pages.columns:
+        one = one.unionByName(chunking.table_chunks(chunking.nested_tables(pages), size).select(*columns))
+    return one
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
