@@ -10,8 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters of other alphabets drawn like a Latin letter.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаесіјорѕухһԁԛԝ", "ABESIJKMHOPCTYXaecijopsyxhdqw"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаесіјорѕухһԁԛԝӀӏ", "ABESIJKMHOPCTYXaecijopsyxhdqwIl"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳρν", "ABEZHIKMNOPTYXocjpv"))
+ARMENIAN = dict(zip("օՕոսհցզԼՏՍ", "oOnuhgqLSU"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRVSLCPKB"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+LATIN = dict(zip("ɑɡ", "ag"))
 # Strokes drawn like the hyphen-minus.
 HYPHENS = "\u2010\u2011\u2212\ufe63\u02d7"
 # Blanks drawn like the ordinary one.
@@ -41,7 +45,7 @@ def invisible() -> tuple[str, ...]:
 def look_alike_pairs() -> tuple[tuple[str, str], ...]:
     """Pairs (string, string drawn the same); the empty string is what an invisible character is drawn as."""
     pairs = [(c, "") for c in invisible()]
-    for fixed in (CYRILLIC, GREEK, RADICALS):
+    for fixed in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, LATIN, RADICALS):
         pairs += fixed.items()
     pairs += [(c, "-") for c in HYPHENS] + [(c, " ") for c in BLANKS]
     for cp in range(0x80, min(sys.maxunicode, 0x2FFFF) + 1):

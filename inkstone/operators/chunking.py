@@ -115,8 +115,10 @@ def _struct(given: dict[str, Column], kind: str) -> Column:
     return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _fields(kind).items()))
 
 
-def _pick(df: DataFrame, *names: str) -> list[Column]:
-    return [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+def _structs(column: Column, given: T.DataType, kind: str) -> Column:
+    """An array of structs as one of structs of a type; fields that the given ones lack are null."""
+    there = {f.name for f in given.elementType.fields}
+    return F.transform(column, lambda x: _struct({n: x[n] for n in _fields(kind) if n in there}, kind))
 
 
 def section_chunks(pages: DataFrame, size: int | Column, overlap: int | Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -149,6 +151,9 @@ def table_chunks(tables: DataFrame, size: int | Column, keep: tuple[str, ...] =
     one = parts.select("*", F.size("parts_").alias("part_count"), F.posexplode("parts_").alias("_k", "_p"))
     given = {"parent_table_id": F.col("table_id"), "part_index": F.col("_k") + 1, "part_count": F.col("part_count"), "caption": F.coalesce("caption", F.lit("")), "table_protection": F.lit(PROTECTION)} | {n: F.col(f"_p.{n}") for n in ("row_start", "row_end", "row_count")}
     given |= {n: F.col(n) for n in _fields(TABLE) if n in tables.columns and n not in given}
+    for name, kind in (("cells", CELLS), ("protected_rows", ROWS)):
+        if name in given:
+            given[name] = _structs(given[name], tables.schema[name].dataType, kind.removeprefix("array<").removesuffix(">"))
     return one.select(
         *keep, F.when(F.col("part_count") == 1, F.col("table_id")).otherwise(numbered(F.col("table_id"), "part", F.col("_k") + 1)).alias("chunk_id"), "doc_id", "page", F.col("_p.text").alias("text"), F.lit("table").alias("chunk_type"), F.lit(True).alias("has_table"),
         "table_id", (F.col("_k") + 1).alias("part_index"), "part_count", "_p.row_start", "_p.row_end", "_p.row_count", _struct(given, TABLE).alias("table"), F.lit(1).alias("kind_ord"), F.col("_k").cast("bigint").alias("ord"),

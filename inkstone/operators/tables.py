@@ -15,32 +15,35 @@ from inkstone.functions.geometry import center_inside, overlap_ratio, round_bbox
 from inkstone.functions.text import html_escape, normalize_whitespace, numeric_like
 from inkstone.session import fence
 
-ROW = "array<struct<row:int,texts:array<string>>>"
+CELL = "struct<row:int,col:int,text:string,bbox:array<double>,is_header:boolean,row_span:int,col_span:int,text_box_ids:array<string>>"
+LINES = "array<struct<row:int,own:array<struct<row:int,col:int,text:string>>>>"
 
 
 def with_matrix(tables: DataFrame) -> DataFrame:
     """Adds `columns_` and `matrix_`: (row, texts) of the rows that are not blank, padded to one width."""
     cell = lambda c: F.struct(c.row.alias("row"), c.col.alias("col"), normalize_whitespace(F.coalesce(c.text, F.lit(""))).alias("text"))
-    cells = F.transform(F.filter(F.coalesce("cells", F.array().cast("array<struct<row:int,col:int,text:string,bbox:array<double>,is_header:boolean,row_span:int,col_span:int,text_box_ids:array<string>>>")), lambda c: c.row.isNotNull() & c.col.isNotNull()), cell)
+    cells = F.transform(F.filter(F.coalesce("cells", F.array().cast(f"array<{CELL}>")), lambda c: c.row.isNotNull() & c.col.isNotNull()), cell)
     out = fence(fence(tables.withColumn("cells_", cells)).withColumn("columns_", F.coalesce(F.array_max(F.transform("cells_", lambda c: c.col)) + 1, F.lit(0))))
     numbers = F.array_sort(F.array_distinct(F.transform(F.filter("cells_", lambda c: F.length(c.text) > 0), lambda c: c.row)))
+    lines = F.transform(numbers, lambda r: F.struct(r.alias("row"), F.filter("cells_", lambda c: c.row == r).alias("own")))  # a row's cells are picked once
 
     def line(r: Column) -> Column:
-        texts = F.transform(F.sequence(F.lit(0), F.col("columns_") - 1), lambda k: F.coalesce(F.try_element_at(F.filter("cells_", lambda c: (c.row == r) & (c.col == k)), F.lit(-1)).text, F.lit("")))
-        return F.struct(r.alias("row"), texts.alias("texts"))
+        texts = F.transform(F.sequence(F.lit(0), F.col("columns_") - 1), lambda k: F.coalesce(F.try_element_at(F.filter(r.own, lambda c: c.col == k), F.lit(-1)).text, F.lit("")))
+        return F.struct(r.row.alias("row"), texts.alias("texts"))
 
-    return fence(out.withColumn("matrix_", F.when(F.col("columns_") > 0, F.transform(numbers, line)).otherwise(F.array().cast(ROW))))
+    out = fence(out.withColumn("lines_", F.when(F.col("columns_") > 0, lines).otherwise(F.array().cast(LINES))))
+    return fence(out.withColumn("matrix_", F.transform("lines_", line)).drop("lines_"))
 
 
-def with_headers(matrices: DataFrame) -> DataFrame:
-    """Adds `header_rows_` (the first row, and the second if at least 60 % of its filled cells are no numbers) and `headers_`: (col, text)."""
+def with_headers(matrices: DataFrame, given: Column | None = None) -> DataFrame:
+    """Adds `header_rows_` (the first row, and the second if at least 60 % of its filled cells are no numbers; or those given) and `headers_`: (col, text)."""
 
     def worded(line: Column) -> Column:
         filled = F.filter(line.texts, lambda t: F.length(t) > 0)
         return F.size(F.filter(filled, lambda t: ~numeric_like(t))) / F.greatest(F.size(filled), F.lit(1)) >= 0.6
 
     first, second = F.slice("matrix_", 1, 1), F.filter(F.slice("matrix_", 2, 1), worded)
-    out = fence(matrices.withColumn("header_rows_", F.transform(F.concat(first, second), lambda r: r.row)))
+    out = fence(matrices.withColumn("header_rows_", F.transform(F.concat(first, second), lambda r: r.row) if given is None else given))
     out = fence(out.withColumn("heads_", F.filter("matrix_", lambda r: F.array_contains("header_rows_", r.row))))
     texts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("columns_") - 1, F.lit(0))), lambda k: F.struct(k.cast("int").alias("col"), F.array_join(F.filter(F.transform("heads_", lambda r: F.try_element_at(r.texts, k + 1)), lambda t: F.length(t) > 0), "的").alias("text")))
     return fence(out.withColumn("headers_", F.filter(texts, lambda h: F.length(h.text) > 0)).drop("heads_"))
@@ -70,31 +73,75 @@ def markdown(caption: Column, matrix: Column, columns: Column) -> Column:
     lines = F.transform(matrix, lambda r: line(r.texts))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), columns), " | "), F.lit(" |"))
     top = F.when(F.length(F.coalesce(caption, F.lit(""))) > 0, F.array(caption)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(matrix) == 0, F.lit("")).otherwise(F.array_join(F.concat(top, F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1 << 20)), "\n"))
+    return F.when(F.size(matrix) == 0, F.lit("")).otherwise(F.array_join(F.concat(top, F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n"))
 
 
 def html(caption: Column, matrix: Column, header_rows: Column, cells: Column) -> Column:
-    def place(r: Column, t: Column, k: Column) -> Column:
-        own = F.try_element_at(F.filter(cells, lambda c: (c.row == r.row) & (c.col == k)), F.lit(-1))
-        span = lambda name, n: F.when(F.coalesce(n, F.lit(1)) > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise(F.lit(""))
-        tag = F.when(F.array_contains(header_rows, r.row), F.lit("th")).otherwise(F.lit("td"))
+    """The table as HTML, by the places that hold a cell; of two cells in one place the last counts."""
+    span = lambda name, n: F.when(F.coalesce(n, F.lit(1)) > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise(F.lit(""))
+
+    def place(tag: Column, t: Column, own: Column) -> Column:
         return F.when(own.isNotNull(), F.concat(F.lit("<"), tag, span("colspan", own.col_span), span("rowspan", own.row_span), F.lit(">"), html_escape(t), F.lit("</"), tag, F.lit(">")))
 
     def line(r: Column) -> Column:
-        return F.concat(F.array(F.lit("<tr>")), F.filter(F.transform(r.texts, lambda t, k: place(r, t, k)), lambda x: x.isNotNull()), F.array(F.lit("</tr>")))
+        texts = F.transform(r.texts, lambda t, k: place(r.tag, t, F.try_element_at(F.filter(r.own, lambda c: c.col == k), F.lit(-1))))
+        return F.concat(F.array(F.lit("<tr>")), F.filter(texts, lambda x: x.isNotNull()), F.array(F.lit("</tr>")))
 
+    tag = lambda r: F.when(F.array_contains(header_rows, r.row), F.lit("th")).otherwise(F.lit("td"))
+    lines = F.transform(matrix, lambda r: F.struct(r.texts.alias("texts"), tag(r).alias("tag"), F.filter(cells, lambda c: c.row == r.row).alias("own")))
     top = F.when(F.length(F.coalesce(caption, F.lit(""))) > 0, F.array(F.lit("<table>"), F.concat(F.lit("<caption>"), html_escape(caption), F.lit("</caption>")))).otherwise(F.array(F.lit("<table>")))
-    return F.array_join(F.concat(top, F.flatten(F.transform(matrix, line)), F.array(F.lit("</table>"))), "\n")
+    return F.array_join(F.concat(top, F.flatten(F.transform(lines, line)), F.array(F.lit("</table>"))), "\n")
+
+
+def structured(tables: DataFrame, describe: bool = True) -> DataFrame:
+    """Tables with matrix, headers, row texts, and `text_`: Markdown, followed by the description of each row if wanted (tables made of bare rows have none)."""
+    return _described(with_rows(with_headers(with_matrix(tables))), describe)
 
 
-def structured(tables: DataFrame) -> DataFrame:
-    """Tables with matrix, headers, row texts, and `text_`: Markdown followed by the description of each row."""
-    out = with_rows(with_headers(with_matrix(tables)))
+def _described(out: DataFrame, describe: bool) -> DataFrame:
     marked = markdown(F.col("caption"), F.col("matrix_"), F.col("columns_"))
-    lines = F.array_join(F.filter(F.transform("rows_", lambda r: r.text), lambda t: F.length(t) > 0), "\n")
+    lines = F.array_join(F.filter(F.transform("rows_", lambda r: r.text), lambda t: F.length(t) > 0), "\n") if describe else F.lit("")
     return fence(out.withColumn("markdown_", marked)).withColumn("text_", F.when(F.length(lines) > 0, normalize_whitespace(F.concat("markdown_", F.lit("\n\n行级描述:\n"), lines))).otherwise(normalize_whitespace(F.col("markdown_"))))
 
 
+RECORD = ("table_id", "doc_id", "page", "text", "rows", "columns", "bbox", "caption", "html", "source", "cells", "protected_rows")
+
+
+def records(tables: DataFrame, describe: bool = True) -> DataFrame:
+    """Whole records (RECORD) of tables with cells; cells say whether they are in a header row."""
+    t = structured(tables, describe)
+    cells = F.transform("cells", lambda c: c.withField("is_header", F.array_contains("header_rows_", c.row)))
+    return t.select(
+        "table_id", "doc_id", "page", F.col("text_").alias("text"), F.size("matrix_").alias("rows"), F.col("columns_").alias("columns"), round_bbox(F.col("bbox")).alias("bbox"), F.coalesce("caption", F.lit("")).alias("caption"),
+        html(F.col("caption"), F.col("matrix_"), F.col("header_rows_"), F.col("cells")).alias("html"), "source", cells.alias("cells"), F.col("rows_").alias("protected_rows"),
+    )
+
+
+def from_geometry(tables: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Whole records of tables drawn with lines: cells without a bbox are none, empty cells take the text of the boxes in them, spans follow from the bboxes.
+
+    The Markdown shows the cells as they were drawn, rows' descriptions and HTML the filled ones.
+    """
+    drawn = tables.withColumn("cells", F.filter(F.coalesce("cells", F.array().cast(f"array<{CELL}>")), lambda c: (F.size(c.bbox) == 4) & c.row.isNotNull() & c.col.isNotNull()))
+    filled = cell_boxes(drawn, boxes).select("table_id", "row", "col", F.col("text").alias("filled"), "ids").join(spans(drawn), ["table_id", "row", "col"])
+    cell = F.struct("row", "col", F.struct("filled", "ids", "row_span", "col_span").alias("x"))
+    known = filled.groupBy("table_id").agg(F.array_sort(F.collect_list(cell)).alias("known"))  # the cells of one table
+    out = with_headers(with_matrix(drawn))
+    out = out.withColumn("markdown_", markdown(F.col("caption"), F.col("matrix_"), F.col("columns_"))).select(*tables.columns, "markdown_", "header_rows_", F.transform("matrix_", lambda r: r.row).alias("shown"))
+    out = fence(out.join(known, "table_id", "left"))
+    of = lambda c: F.try_element_at(F.filter("known", lambda x: (x.row == c.row) & (x.col == c.col)), F.lit(1)).x
+    told = F.transform("cells", lambda c: F.struct(c.alias("c"), of(c).alias("x")))
+    cells = F.transform(told, lambda y: F.struct(y.c.row.alias("row"), y.c.col.alias("col"), F.coalesce(y.x.filled, F.lit("")).alias("text"), round_bbox(y.c.bbox).alias("bbox"), F.array_contains("header_rows_", y.c.row).alias("is_header"), y.x.row_span.alias("row_span"), y.x.col_span.alias("col_span"), y.x.ids.alias("text_box_ids")))
+    out = fence(out.withColumn("cells", F.filter(cells, lambda c: F.array_contains("shown", c.row))))
+    out = with_rows(with_headers(with_matrix(out), F.col("header_rows_")))
+    lines = F.array_join(F.filter(F.transform("rows_", lambda r: r.text), lambda t: F.length(t) > 0), "\n")
+    text = F.when(F.length(lines) > 0, F.concat("markdown_", F.lit("\n\n行级描述:\n"), lines)).otherwise(F.col("markdown_"))
+    return out.select(
+        "table_id", "doc_id", "page", normalize_whitespace(text).alias("text"), F.size("shown").alias("rows"), F.col("columns_").alias("columns"), round_bbox(F.col("bbox")).alias("bbox"), F.coalesce("caption", F.lit("")).alias("caption"),
+        html(F.col("caption"), F.col("matrix_"), F.col("header_rows_"), F.col("cells")).alias("html"), "source", "cells", F.col("rows_").alias("protected_rows"),
+    )
+
+
 def spans(tables: DataFrame) -> DataFrame:
     """(table_id, row, col, row_span, col_span): over how many rows' and columns' middles a cell with a bbox reaches, at least 1.
 
@@ -111,12 +158,19 @@ def spans(tables: DataFrame) -> DataFrame:
     return out.select("table_id", "c.row", "c.col", reach("by_row", 1, 3).alias("row_span"), reach("by_col", 0, 2).alias("col_span"))
 
 
+FOUND = "array<struct<top:double,x0:double,box_id:string,text:string,x1:double,bottom:double>>"
+
+
 def cell_boxes(tables: DataFrame, boxes: DataFrame, least: float = 0.45) -> DataFrame:
-    """(table_id, row, col, box_ids, text): boxes of the page that lie in a cell, in reading order; the text fills an empty cell."""
+    """(table_id, row, col, box_ids, ids, text): boxes of the page that lie in a cell, in reading order, as one text and as an array; their text fills an empty cell.
+
+    A page's cells meet its boxes within the page's row, so neither is copied for the other.
+    """
     per_page = boxes.where("text is not null").groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "x0", "box_id", "text", "x1", "bottom")).alias("boxes"))  # the boxes of one page
     cells = tables.select("table_id", "doc_id", "page", F.explode("cells").alias("c")).where(F.size("c.bbox") == 4).select("table_id", "doc_id", "page", "c.row", "c.col", "c.text", "c.bbox")
-    found = F.array_sort(F.filter("boxes", lambda b: overlap_ratio(b, F.col("bbox")) >= least))
-    joined = cells.groupBy("doc_id", "page").agg(F.collect_list(F.struct("table_id", "row", "col", "text", "bbox")).alias("cells")).join(per_page, ["doc_id", "page"], "left")
-    rows = joined.select("boxes", F.explode("cells").alias("c")).select("c.*", "boxes").transform(fence).select("table_id", "row", "col", "text", F.coalesce(found, F.array().cast("array<struct<top:double,x0:double,box_id:string,text:string,x1:double,bottom:double>>")).alias("found"))
-    own, rows = normalize_whitespace(F.coalesce("text", F.lit(""))), fence(rows)
-    return rows.select("table_id", "row", "col", F.array_join(F.transform("found", lambda b: b.box_id), ",").alias("box_ids"), F.when(F.length(own) > 0, own).otherwise(normalize_whitespace(F.array_join(F.transform("found", lambda b: b.text), " "))).alias("text"))
+    joined = fence(cells.groupBy("doc_id", "page").agg(F.collect_list(F.struct("table_id", "row", "col", "text", "bbox")).alias("cells")).join(per_page, ["doc_id", "page"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(FOUND))))
+    found = lambda c: F.array_sort(F.filter("boxes", lambda b: overlap_ratio(b, c.bbox) >= least))
+    held = F.transform("cells", lambda c: F.struct(c.table_id.alias("table_id"), c.row.alias("row"), c.col.alias("col"), c.text.alias("own"), F.transform(found(c), lambda b: F.struct(b.box_id.alias("box_id"), b.text.alias("text"))).alias("found")))
+    rows = fence(joined.select(F.explode(held).alias("c")).select("c.*"))
+    own, ids = normalize_whitespace(F.coalesce("own", F.lit(""))), F.transform("found", lambda b: b.box_id)
+    return rows.select("table_id", "row", "col", F.array_join(ids, ",").alias("box_ids"), ids.alias("ids"), F.when(F.length(own) > 0, own).otherwise(normalize_whitespace(F.array_join(F.transform("found", lambda b: b.text), " "))).alias("text"))

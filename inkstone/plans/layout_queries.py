@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkstone.operators import catalog as K
 from inkstone.operators import layout as L
 from inkstone.plans import sql as S
 from inkstone.plans.table_queries import _boxes, _tables
+from inkstone.session import table
 
 
 def _tags(spark, d):
@@ -43,6 +45,17 @@ def layout_pages(spark, d):
     return L.assembled(_boxes(spark, d), _tables(spark, d)).select("doc_id", "page", "text", F.coalesce(F.size("sections"), F.lit(0)).alias("section_count"), "text_box_count", "layout_region_count", "table_count")
 
 
+def pages_record(spark, d):
+    """The whole record of every page with boxes; arrays of structs by their ids and what was found for them."""
+    documents = K.metadata(K.manifest_records(table(spark, d, "doc_manifest")))
+    r = L.page_records(_boxes(spark, d), _tables(spark, d), documents)
+    ids = lambda c, f: F.array_join(F.transform(c, f), " ").alias(c)
+    return r.select(
+        "doc_id", "source", "page", "text", ids("sections", lambda s: F.concat_ws(",", s.section_id, s.layout_type, s.col_id)), ids("tables", lambda t: F.concat_ws(",", t.table_id, t.caption)), ids("layout_regions", lambda a: F.concat_ws(",", a.region_id, a.type)),
+        ids("text_boxes", lambda b: F.concat_ws(",", b.box_id, b.layout_type, b.layoutno, b.col_id)), "metadata.title", "metadata.expected_pages", "parser.text_box_count", "parser.layout_region_count", "parser.table_count", F.col("parser.name").alias("parser_name"),
+    )
+
+
 def layout_rows(spark, d):
     return L.box_rows(_boxes(spark, d), _tables(spark, d)).select("box_id", "row")
 
@@ -132,7 +145,7 @@ SELECT {S.number_id(S.number_id("doc_id", "p", "page"), "layout-t", "run")} AS t
 WHERE columns >= 3 AND NOT EXISTS (SELECT 1 FROM ({known}) t WHERE t.doc_id = z.doc_id AND t.page = z.page AND len(t.bbox) = 4 AND greatest(0, least(z.x1, t.bbox[3]) - greatest(z.x0, t.bbox[1])) * greatest(0, least(z.bottom, t.bbox[4]) - greatest(z.top, t.bbox[2])) / greatest(1, (z.x1 - z.x0) * (z.bottom - z.top)) >= 0.25)"""
 
 
-QUERIES = {f.__name__: f for f in (layout_repeated_margins, layout_tags, layout_regions, layout_columns, layout_captions, layout_sections, layout_pages, layout_rows, layout_detected_tables, layout_redetected_tables)}
+QUERIES = {f.__name__: f for f in (layout_repeated_margins, layout_tags, layout_regions, layout_columns, layout_captions, layout_sections, layout_pages, pages_record, layout_rows, layout_detected_tables, layout_redetected_tables)}
 SQL = {
     "layout_repeated_margins": lambda: f"WITH {_BASE} SELECT doc_id, text FROM rep",
     "layout_tags": lambda: f"WITH {_BASE} SELECT box_id, layout_type, layoutno FROM tag",
@@ -143,6 +156,13 @@ SQL = {
     "layout_sections": lambda: f"WITH {_BASE} SELECT {S.number_id(S.number_id('doc_id', 'p', 'page'), 's', 'section_ord')} AS section_id, doc_id, page, text, layout_type, layoutno, col_id, x0, top, x1, bottom, box_ids FROM sec",
     "layout_pages": lambda: f"""WITH {_BASE} SELECT b.doc_id, b.page, {S.norm("coalesce(any_value(s.text), '')")} AS text, coalesce(any_value(s.n), 0)::INT AS section_count, count(*) AS text_box_count, coalesce(any_value(r.n), 0) AS layout_region_count, coalesce(any_value(t.n), 0) AS table_count FROM b0 b
       LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY section_ord) AS text, count(*) AS n FROM sec GROUP BY 1, 2) s USING (doc_id, page) LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM reg GROUP BY 1, 2) r USING (doc_id, page) LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM tabs GROUP BY 1, 2) t USING (doc_id, page) GROUP BY b.doc_id, b.page""",
+    "pages_record": lambda: f"""WITH {_BASE}, cap AS (SELECT table_id, max_by(text, box_ord) AS said FROM (SELECT c.text, c.box_ord, t.table_id, abs(c.bottom - t.bbox[2]) AS distance, row_number() OVER (PARTITION BY c.box_id ORDER BY abs(c.bottom - t.bbox[2]), t.ord) AS rank FROM tag c JOIN tabs t ON t.doc_id = c.doc_id AND t.page = c.page
+      WHERE c.layout_type = 'table caption' AND len(t.bbox) = 4 AND c.x1 >= t.bbox[1] AND c.x0 <= t.bbox[3]) WHERE rank = 1 AND distance <= 80 GROUP BY table_id), meta AS (SELECT doc_id, {S.strip("file_path")} AS source, {S.strip("coalesce(title, '')")} AS title, CASE WHEN regexp_matches({S.strip("coalesce(pages, '')")}, '^[+-]?[0-9]+$') THEN try_cast({S.strip("coalesce(pages, '')")} AS INTEGER) END AS expected_pages FROM doc_manifest QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY file_path) = 1)
+      SELECT b.doc_id, any_value(meta.source) AS source, b.page, {S.norm("coalesce(any_value(s.text), '')")} AS text, coalesce(any_value(s.ids), '') AS sections, coalesce(any_value(t.ids), '') AS tables, coalesce(any_value(r.ids), '') AS layout_regions, string_agg(concat_ws(',', b.box_id, b.layout_type, b.layoutno, b.col_id), ' ' ORDER BY b.box_ord, b.box_id) AS text_boxes, any_value(meta.title) AS title, any_value(meta.expected_pages) AS expected_pages,
+      count(*)::INT AS text_box_count, coalesce(any_value(r.n), 0)::INT AS layout_region_count, coalesce(any_value(t.n), 0)::INT AS table_count, 'deepdoc_style_local' AS parser_name FROM cols b LEFT JOIN meta ON meta.doc_id = b.doc_id
+      LEFT JOIN (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY section_ord) AS text, string_agg(concat_ws(',', {S.number_id(S.number_id('doc_id', 'p', 'page'), 's', 'section_ord')}, layout_type, col_id), ' ' ORDER BY section_ord) AS ids FROM sec GROUP BY 1, 2) s ON s.doc_id = b.doc_id AND s.page = b.page
+      LEFT JOIN (SELECT doc_id, page, string_agg(region_id || ',' || type, ' ' ORDER BY region_id) AS ids, count(*) AS n FROM reg GROUP BY 1, 2) r ON r.doc_id = b.doc_id AND r.page = b.page
+      LEFT JOIN (SELECT doc_id, page, string_agg(table_id || ',' || coalesce(said, caption), ' ' ORDER BY ord) AS ids, count(*) AS n FROM tabs LEFT JOIN cap USING (table_id) GROUP BY 1, 2) t ON t.doc_id = b.doc_id AND t.page = b.page GROUP BY b.doc_id, b.page""",
     "layout_rows": lambda: f"WITH RECURSIVE {_rows_sql(_FREE)} SELECT box_id, row::INT AS row FROM f",
     "layout_detected_tables": lambda: _detected_sql(_FREE, S.TABLES),
     "layout_redetected_tables": lambda: _detected_sql(_CELLS, f"SELECT * FROM {S.TABLES} LIMIT 0"),

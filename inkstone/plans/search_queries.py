@@ -11,7 +11,7 @@ from inkstone.operators import catalog as K
 from inkstone.operators import chunking as C
 from inkstone.operators import retrieval as R
 from inkstone.plans import sql as S
-from inkstone.session import table
+from inkstone.session import own_dir, table
 from inkstone.streaming import pages as P
 
 
@@ -86,8 +86,10 @@ def vector_label_recall(spark, d):
 
 
 def ivf_topk(spark, d):
-    index, centres = R.ivf_index(_vectors(spark, d))
-    return R.ivf_topk(index, centres, _vector_queries(spark, d), 5).withColumn("score", F.round("score", 6))
+    """The nearest vectors by an index stored by cell, of which each query reads its nearest cells."""
+    path = f"{own_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    R.save_ivf(_vectors(spark, d), path)
+    return R.ivf_topk(spark, path, _vector_queries(spark, d), 5).withColumn("score", F.round("score", 6))
 
 
 def ivf_recall(spark, d):

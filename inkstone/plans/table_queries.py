@@ -53,7 +53,7 @@ def table_spans(spark, d):
 
 
 def table_cell_boxes(spark, d):
-    return T.cell_boxes(_tables(spark, d), _boxes(spark, d))
+    return T.cell_boxes(_tables(spark, d), _boxes(spark, d)).drop("ids")
 
 
 _BASE = f"""t AS {S.TABLES},

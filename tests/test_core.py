@@ -269,6 +269,7 @@ def test_manifest_and_validation(spark, tmp_path):
     assert (check.duplicate_doc_ids, check.missing_paths, check.unlisted_files, check.status) == (1, 1, 1, "FAIL")
     assert catalog.documents(listed, found.select(*listed.columns)).count() == 3 and catalog.documents(listed, found.select(*listed.columns), False).count() == 2
     assert catalog.validation(listed.limit(0), found.limit(0)).first().status == "OK"
+    assert catalog.metadata(listed).where("doc_id = 'a'").first().metadata.title == 'A, "B"'
     with pytest.raises(SystemExit):
         cli.main(["validate-dataset", "--manifest", str(tmp_path / "m.csv"), "--raw-dir", str(raw)], spark)
 
@@ -293,15 +294,69 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "raw/one.pdf").write_bytes("第一行文字\n第二行文字关于储能".encode())
     (tmp_path / "raw/two.pdf").write_bytes(b"bad")
     assert files.text_boxes(spark, str(tmp_path / "raw"), extract).where("source = 'error'").count() == 1
-    boxes_df = files.text_boxes(spark, str(tmp_path / "raw"), extract).where("page is not null")
-    pages = layout.assembled(boxes_df, spark.createDataFrame([], TAB)).withColumn("source", F.lit("s"))
+    boxes_df = files.text_boxes(spark, str(tmp_path / "raw"), extract).where("page is not null").drop("path")
+    none = spark.createDataFrame([], "doc_id string, source string, metadata string")
+    pages = layout.page_records(boxes_df, tables.records(spark.createDataFrame([], TAB)), none).withColumn("source", F.lit("s")).drop("metadata")
     files.write_jsonl(pages, str(tmp_path / "pages"))
-    at = lambda n: str(tmp_path / n)
-    assert cli.main(["build-chunks", "--input", at("pages"), "--output", at("chunks")], spark) == "chunks: 1"
-    assert cli.main(["build-index", "--chunks", at("chunks"), "--index-path", at("index")], spark) == "vectors: 1"
-    assert "one" in cli.main(["search", "--query", "储能", "--index-path", at("index")], spark)
-    assert "| 512 | 100 | 1 |" in cli.main(["chunking-experiment", "--input", at("pages"), "--report", at("report.md")], spark)
-    assert "储能" in cli.main(["inspect-chunks", "--chunks", at("chunks"), "--keyword", "储能"], spark)
+    root = ["--root", str(tmp_path)]
+    assert cli.main(["build-chunks", "--input", "pages", "--output", "chunks", *root], spark) == "chunks: 1"
+    assert cli.main(["build-index", "--chunks", "chunks", "--index-path", "index", "--meta-path", "meta", *root], spark) == "chunks: 1\ndimension: 256"
+    assert files.read_jsonl(spark, str(tmp_path / "meta"), cli.CHUNK).first().pages == [1]
+    assert "one p.1" in cli.main(["search", "--query", "储能", "--index-path", "index", *root], spark)
+    assert "| 512 | 100 | 1 |" in cli.main(["chunking-experiment", "--input", "pages", "--report", "out/report.md", "--output-dir", "sweep", *root], spark)
+    assert files.read_jsonl(spark, str(tmp_path / "sweep/chunks_256_50.jsonl"), cli.CHUNK).count() == 1
+    assert "储能" in cli.main(["inspect-chunks", "--chunks", "chunks", "--keyword", "储能", *root], spark)
+
+
+def lines_of(path, content):
+    for k, line in enumerate(content.decode().split("\n")):
+        yield ("own", 1, 600.0, 800.0, k, f"b{k}", line, 50.0, 100.0 + 12 * k, 300.0, 110.0 + 12 * k, 10.0, 1, k, "test")
+    yield ("own", 2, 600.0, 800.0, *[None] * 10, "test")
+
+
+def grid_of(path, content):
+    yield (1, [50.0, 300.0, 250.0, 340.0], [(0, 0, "项目", [50.0, 300.0, 150.0, 320.0]), (0, 1, "2023", [150.0, 300.0, 250.0, 320.0]), (1, 0, "收入", [50.0, 320.0, 150.0, 340.0]), (1, 1, "5", [150.0, 320.0, 250.0, 340.0])])
+    yield (1, None, [(0, 0, "x", None), (0, 1, "y", None), (1, 0, "z", None)])
+    raise ValueError("broken")
+
+
+def test_relative_paths(spark, tmp_path, monkeypatch):
+    raw = tmp_path / "data/raw/policy"
+    raw.mkdir(parents=True)
+    (raw / "a.pdf").write_bytes("第一行\n第二行".encode())
+    head = "doc_id,file_path,title,industry,doc_type,year_month,source_url,pages,file_size_bytes,notes"
+    (tmp_path / "m.csv").write_text(f"{head}\na,data/raw/policy/../policy/./a.pdf,T,政策,policy,,,2,5,\n", encoding="utf-8")
+    monkeypatch.chdir(tmp_path)
+    said = cli.main(["validate-dataset", "--manifest", "m.csv", "--raw-dir", "data/raw"], spark)
+    assert said.endswith("status: OK") and "missing_paths: 0" in said
+    (raw / "b.pdf").write_bytes(b"x")
+    with pytest.raises(SystemExit, match="unlisted_files: 1\n  - data/raw/policy/b.pdf"):
+        cli.main(["validate-dataset", "--manifest", "m.csv", "--raw-dir", "data/raw"], spark)
+    found = {r.file_path: r.industry for r in catalog.discovered_records(files.find_files(spark, str(tmp_path / "data/raw")), "data/raw", str(tmp_path)).collect()}
+    assert found == {"data/raw/policy/a.pdf": "policy", "data/raw/policy/b.pdf": "policy"}
+    with pytest.raises(SystemExit, match="unlisted_files: 2"):
+        cli.main(["validate-dataset", "--manifest", "none.csv", "--raw-dir", "data/raw"], spark)
+    said = cli.main(["parse-pdfs", "--manifest", "m.csv", "--raw-dir", "data/raw", "--output", "pages.jsonl", "--manifest-only", "--extractor", f"{__name__}:lines_of", "--tables", f"{__name__}:grid_of"], spark)
+    assert said == "documents: 1\npages: 2"
+    pages = {r.page: r for r in spark.read.json(str(tmp_path / "pages.jsonl")).collect()}
+    assert pages[1].doc_id == "a" and pages[1].metadata.title == "T" and pages[1].source == "data/raw/policy/../policy/./a.pdf" and pages[1].text == "第一行\n第二行" and pages[2].parser.text_box_count == 0
+    assert [(t.table_id, t.rows, t.columns) for t in pages[1].tables] == [("a-p001-t001", 2, 2), ("a-p001-t002", 2, 2)] and [a.type for a in pages[1].layout_regions] == ["table"]
+    assert "行级描述" in pages[1].tables[0].text and "行级描述" not in pages[1].tables[1].text and pages[1].parser.table_count == 2 and len(pages[1].text_boxes) == 2
+    assert cli.main(["build-chunks", "--input", "pages.jsonl", "--output", "chunks.jsonl"], spark) == "chunks: 3"
+    chunk = {r.chunk_id: r for r in files.read_jsonl(spark, str(tmp_path / "chunks.jsonl"), cli.CHUNK).collect()}["a-p001-t001"]
+    assert chunk.metadata.title == "T" and chunk.table.html.startswith("<table>") and chunk.table.table_protection == "row_boundary" and chunk.section is None and len(chunk.table.cells) == 4
+
+
+def test_tables_from_geometry(spark):
+    cell = lambda r, c, t, x0, y0, x1, y1: (r, c, t, [x0, y0, x1, y1], None, 1, 1, None)
+    cells = [cell(0, 0, "项目", 0.0, 0.0, 50.0, 10.0), cell(0, 1, "2023", 50.0, 0.0, 100.0, 10.0), cell(1, 0, None, 0.0, 10.0, 50.0, 20.0), cell(1, 1, "7", 50.0, 10.0, 100.0, 20.0), cell(2, 0, "合计 9", 0.0, 20.0, 100.0, 30.0), (3, 0, "no bbox", None, None, 1, 1, None), cell(4, 0, " ", 0.0, 30.0, 50.0, 40.0)]
+    drawn = spark.createDataFrame([("T", "d", 1, None, [0.0, 0.0, 100.0, 40.001], "s", cells), ("E", "d", 2, "", None, "s", [])], TAB)
+    put = spark.createDataFrame([("d", 1, "b1", "收入", 1.0, 11.0, 20.0, 19.0), ("d", 1, "b2", "7", 60.0, 11.0, 70.0, 19.0)], "doc_id string, page int, box_id string, text string, x0 double, top double, x1 double, bottom double")
+    rows = {r.table_id: r for r in tables.from_geometry(drawn, put).collect()}
+    t = rows["T"]
+    assert (t.rows, t.columns, t.bbox) == (3, 2, [0.0, 0.0, 100.0, 40.0]) and "| 项目 | 2023 |" in t.text and "| | 7 |" in t.text and "项目: 收入; 2023: 7" in t.text
+    assert {(c.row, c.col): (c.text, c.row_span, c.col_span, c.is_header, c.text_box_ids) for c in t.cells} == {(0, 0): ("项目", 1, 1, True, []), (0, 1): ("2023", 1, 1, True, []), (1, 0): ("收入", 1, 1, False, ["b1"]), (1, 1): ("7", 1, 1, False, ["b2"]), (2, 0): ("合计 9", 1, 2, False, [])}
+    assert '<td colspan="2">合计 9</td>' in t.html and "<td>收入</td>" in t.html and rows["E"].text == "" and rows["E"].cells == []
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -327,22 +382,32 @@ def test_vector_search_against_brute_force(spark):
         assert [got[q, k] for k in range(1, 5)] == sorted(range(300), key=lambda i: (-scores[i], i))[:4]
     assert retrieval.vector_topk(rows, asked.limit(0), 4).count() == 0 and retrieval.vector_topk(rows.limit(0), asked, 4).count() == 0
     assert retrieval.vector_topk(rows, asked.limit(1), 1000).count() == 300
-    index, centres = retrieval.ivf_index(rows, cells=6)
-    some = {(r.query_id, r.id) for r in retrieval.ivf_topk(index, centres, asked, 4, probes=5).collect()}
-    assert index.count() == 300 and len(some & {(q, i) for (q, _), i in got.items()}) / len(got) >= 0.9
 
 
-def test_clustered_search_is_exact_as_registered(spark):
+def test_clustered_search_as_registered(spark, tmp_path):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 32)).astype(np.float32)
     v[:200] += rng.normal(size=(4, 32)).astype(np.float32).repeat(50, 0) * 6
-    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(600)], "id bigint, embedding array<float>")
-    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
-    index, centres = retrieval.ivf_index(rows)
-    got = {(r.query_id, r.rank): r.id for r in retrieval.ivf_topk(index, centres, asked, 5).collect()}
-    for q in range(0, 600, 10):
-        scores = v.astype(float) @ v[q].astype(float)
-        assert [got[q, k] for k in range(1, 6)] == sorted(range(600), key=lambda i: (-scores[i], i))[:5]
+    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(600)] + [(None, v[0].tolist()), (900, None), (901, [])], "id bigint, embedding array<float>").selectExpr("*", "7 as cell", "1 as score")
+    asked = rows.where("id % 10 = 0 and id < 600").select(F.col("id").alias("query_id"), "embedding")
+    retrieval.save_ivf(rows, str(tmp_path / "ivf"))
+    exact = {(q, i) for q in range(0, 600, 10) for i in sorted(range(600), key=lambda i, s=v.astype(float) @ v[q].astype(float): (-s[i], i))[:5]}
+    got = {(r.query_id, r.id) for r in retrieval.ivf_topk(spark, str(tmp_path / "ivf"), asked, 5, block=17).collect()}
+    assert spark.read.parquet(str(tmp_path / "ivf/rows")).count() == 600 and len(got & exact) / len(exact) >= 0.9
+    everything = {(r.query_id, r.id) for r in retrieval.ivf_topk(spark, str(tmp_path / "ivf"), asked, 5, probes=16).collect()}
+    assert everything == exact
+    one = retrieval.ivf_topk(spark, str(tmp_path / "ivf"), asked.limit(1), 5, probes=2)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().toString() and retrieval.ivf_topk(spark, str(tmp_path / "ivf"), asked.limit(0), 5).count() == 0
+
+
+def test_vectors_of_one_size(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id bigint, embedding array<float>")
+    with pytest.raises(ValueError):
+        retrieval.same_size(rows)
+    with pytest.raises(ValueError):
+        retrieval.same_size(rows.limit(0))
+    with pytest.raises(Exception, match="has not 2 dimensions"):
+        retrieval.vector_topk(rows, rows.where("id = 1").withColumnRenamed("id", "query_id"), 1).collect()
 
 
 def test_zero_vector(spark):
@@ -355,6 +420,37 @@ def test_encoder(spark):
     v = {r.id: r.embedding for r in retrieval.encoded(df, "text").collect()}
     assert v[1] == v[3] and abs(sum(x * x for x in v[1]) - 1) < 1e-5 and set(v[2]) == {0.0}
     assert retrieval.encoded(df.limit(0), "text").count() == 0
+    odd = ["", " ", "a", " a b ", "ab", "储", "x" * 3000, "\ud800"]
+    whole = retrieval.HashingEncoder().encode(odd)
+    assert all(np.array_equal(whole[k], retrieval.HashingEncoder().encode([t])[0]) for k, t in enumerate(odd)) and not whole[0].any() and not whole[1].any() and whole[2].any()
+    assert np.abs(whole[6]).sum() >= 2999
+
+
+class Plain:
+    def encode(self, texts, batch_size=1):
+        return np.ones((len(texts), 4)) * batch_size
+
+
+class Full(Plain):
+    def encode_queries(self, texts, batch_size, max_length, normalize_embeddings):
+        return np.full((len(texts), 2), max_length)
+
+
+def test_encoder_adapter():
+    C, E = retrieval.EncoderConfig, retrieval.Encoder
+    seen = []
+    assert E(C(load=lambda name, use_fp16: seen.append((name, use_fp16)) or Plain(), model_name="m", use_fp16=True, batch_size=3)).encode(["a"]).tolist() == [[0.5] * 4] and seen == [("m", True)]
+    assert E(C(load=lambda name, query_instruction_for_retrieval, use_fp16: seen.append(query_instruction_for_retrieval) or Full(), max_length=9, normalize=False)).encode(["a"], queries=True).tolist() == [[9.0, 9.0]] and seen[-1] == C().query_instruction
+    assert E(C(load=Plain, batch_size=2, normalize=False)).encode(["a"], queries=True).tolist() == [[2.0] * 4] and E(C(load=Plain)).encode([]).shape == (0, 0)
+    with pytest.raises(RuntimeError):
+        E(C(load=lambda: object())).encode(["a"])
+
+
+def test_evaluation(spark):
+    found = spark.createDataFrame([(1, 1, "x"), (1, 2, "k"), (2, 1, "z")], "query_id bigint, rank int, key string")
+    truth = spark.createDataFrame([(1, "k", "fact"), (2, "q", "fact")], "query_id bigint, key string, question_type string")
+    rows = retrieval.evaluated(lambda q: found, truth.select("query_id"), truth, ks=(1, 3)).orderBy("k").collect()
+    assert [(r.k, r.recall) for r in rows] == [(1, 0.0), (3, 0.5)] and rows[0].seconds_per_query > 0
 
 
 def test_answers_and_expansion(spark):
@@ -426,3 +522,8 @@ def test_distance_keeps_scales_apart():
 def test_fold_does_not_change_looks():
     assert fold("m²") == "m²" and fold("CO₂") == "CO₂" and fold("產能") == "產能" and fold(None) is None
     assert json.dumps(fold("Ａ​ｂ")) == '"Ab"'
+
+
+def test_letters_of_other_alphabets():
+    assert fold("ρrοfit") == "profit" and fold("Dіνidend") == "Dividend" and fold("ӏeaѕe") == "lease" and fold("ᎡОІ") == "ROI" and fold("օutput") == "output" and fold("ɡross") == "gross" and fold("ꓣꓳꓲꓚ") == "ROIC"
+    assert fold("ı") == "ı" and fold("β") == "β" and fold("д") == "д"
