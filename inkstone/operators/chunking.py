@@ -37,18 +37,24 @@ def checked(size: int, overlap: int) -> tuple[int, int]:
     return size, overlap
 
 
-def latest(df: DataFrame, keys: list[str], at: str | list[str], most: int = 400_000) -> DataFrame:
-    """The last delivery of each key; rows with a null in their key are all kept.
+def latest(df: DataFrame, keys: list[str], at: str | list[str], most: int = 400_000, wide: bool = False) -> DataFrame:
+    """The last delivery of each key by the columns `at`; rows with a null in their key are all kept.
 
-    Only the keys are counted over the network; whole rows move for keys that were delivered more than once (few),
-    and if there are more than `most` of these, which are broadcast up to there.
+    Only keys and the first column of `at` are counted over the network; those delivered more than once (few) come back
+    with their last `at`, broadcast up to `most` of them, and pick their rows in one reading. Whole rows move only for
+    keys whose last `at` occurs again; or for all repeated keys, if `at` is too wide a column to count by.
     """
+    first, *_ = order = [at] if isinstance(at, str) else at
     known = [F.col(k).isNotNull() for k in keys]
-    again = materialize(df.where(reduce(and_, known)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys))
-    again = small(again, most)
-    order = W.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in ([at] if isinstance(at, str) else at)))
-    last = df.join(again, keys, "left_semi").withColumn("_delivery", F.row_number().over(order)).where("_delivery = 1").drop("_delivery")
-    return df.join(again, keys, "left_anti").unionByName(last)
+    counted = df.where(reduce(and_, known)).groupBy(*keys, (F.lit(0) if wide else F.col(first)).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    again = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max(F.struct("_at", "_n")).alias("_last")).where("_all > 1").select(*keys, F.col("_last._at").alias("_at"), F.col("_last._n").alias("_n"))
+    again = materialize(again)
+    out = df.join(small(again, most), keys, "left").where(F.col("_n").isNull() | ((F.col("_n") == 1) & F.col(first).eqNullSafe(F.col("_at")))).select(*df.columns)
+    tied = again.where("_n > 1").select(*keys)
+    if tied.isEmpty():
+        return out
+    by = W.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
+    return out.unionByName(df.join(small(tied, most), keys, "left_semi").withColumn("_delivery", F.row_number().over(by)).where("_delivery = 1").select(*df.columns))
 
 
 def windows(text: Column, size: int | Column, overlap: int | Column) -> Column:

@@ -84,7 +84,7 @@ def chunk_sweep(spark, d):
 
 
 def chunk_stats(spark, d):
-    chunks = C.latest(table(spark, d, "chunks"), ["chunk_id"], "text")
+    chunks = C.latest(table(spark, d, "chunks"), ["chunk_id"], "text", wide=True)
     return C.chunk_stats(chunks.select("doc_id", "text", "chunk_type", "has_table", F.col("table_info.part_count").alias("part_count"), F.col("table_info.table_protection").alias("table_protection")))
 
 
@@ -93,12 +93,12 @@ def page_stats(spark, d):
 
 
 def inspect_chunks(spark, d):
-    chunks = C.latest(table(spark, d, "chunks"), ["chunk_id"], "text")
+    chunks = C.latest(table(spark, d, "chunks"), ["chunk_id"], "text", wide=True)
     return C.inspect(chunks, keyword="营业收入", limit=10).select("chunk_id", "doc_id", "chunk_type", X.preview(F.col("text"), 240).alias("preview"))
 
 
 def nonblank_chunks(spark, d):
-    return C.latest(table(spark, d, "chunks"), ["chunk_id"], "text").where(F.length(X.strip(F.col("text"))) > 0).select("chunk_id")
+    return C.latest(table(spark, d, "chunks"), ["chunk_id"], "text", wide=True).where(F.length(X.strip(F.col("text"))) > 0).select("chunk_id")
 
 
 def _parts_sql(size: int) -> str:

@@ -104,7 +104,7 @@ def _documents(spark, d):
 
 
 def _chunks(spark, d):
-    return C.latest(table(spark, d, "chunks"), ["chunk_id"], "text").select(F.col("chunk_id").alias("id"), "text", "doc_id", "pages")
+    return C.latest(table(spark, d, "chunks"), ["chunk_id"], "text", wide=True).select(F.col("chunk_id").alias("id"), "text", "doc_id", "pages")
 
 
 def _questions(spark, d):
