@@ -46,7 +46,7 @@ def latest(df: DataFrame, keys: list[str], at: str | list[str], most: int = 400_
     """
     first, *_ = order = [at] if isinstance(at, str) else at
     known = [F.col(k).isNotNull() for k in keys]
-    counted = df.where(reduce(and_, known)).groupBy(*keys, (F.lit(0) if wide else F.col(first)).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.where(reduce(and_, known)).groupBy(*keys, (F.lit(None).cast(df.schema[first].dataType) if wide else F.col(first)).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     again = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max(F.struct("_at", "_n")).alias("_last")).where("_all > 1").select(*keys, F.col("_last._at").alias("_at"), F.col("_last._n").alias("_n"))
     again = materialize(again)
     out = df.join(small(again, most), keys, "left").where(F.col("_n").isNull() | ((F.col("_n") == 1) & F.col(first).eqNullSafe(F.col("_at")))).select(*df.columns)
@@ -112,8 +112,14 @@ _ORDER = ("kind_ord", "ord")
 
 
 def _fields(kind: str) -> dict[str, str]:
-    """The fields of a struct type by name."""
-    return {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(kind).fields}
+    """The fields of a struct type by name, read without a session."""
+    out, depth, start, inner = {}, 0, 0, kind.removeprefix("struct<").removesuffix(">") + ","
+    for at, c in enumerate(inner):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, _, what = inner[start:at].partition(":")
+            out[name], start = what, at + 1
+    return out
 
 
 def _struct(given: dict[str, Column], kind: str) -> Column:

@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
-SKIP = {"chunk_sweep"}  # the same code as chunks_all, three times
 
 
 def plain(v):
@@ -36,7 +35,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SKIP))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, D)
     result = duck.sql(entry.oracle_sql()[name])
