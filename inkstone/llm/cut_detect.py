@@ -108,9 +108,20 @@ def score(w: np.ndarray, row: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(w[row].sum(), -30, 30))))
 
 
-def length_counts(documents: DataFrame) -> DataFrame:
-    """(source, size, n) of all texts, and n of the null ones without a size; written to the shared folder, as it is read several times."""
-    return materialize(documents.groupBy(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("size")).agg(F.count(F.lit(1)).alias("n")))
+def endings(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, source, size, tail, text): all that is looked at, from one reading of the documents; written to the shared folder.
+
+    text is whole for about `sample` documents, those with a hash under a bound, and null for the others. Documents
+    without an id are there for the lengths alone.
+    """
+    share = min(1.0, sample / max(1, documents.count()))  # the files' own counts
+    drawn = F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return materialize(documents.select("doc_id", "source", F.length("text").alias("size"), F.expr(f"right(text, {TAIL})").alias("tail"), F.when(drawn, F.col("text")).alias("text")))
+
+
+def length_counts(ends: DataFrame) -> DataFrame:
+    """(source, size, n) of all texts."""
+    return ends.where("size is not null").groupBy(F.coalesce("source", F.lit("")).alias("source"), "size").agg(F.count(F.lit(1)).alias("n"))
 
 
 def length_limits(counts: DataFrame, least: int = 4) -> dict[str, tuple[int, ...]]:
@@ -119,7 +130,6 @@ def length_limits(counts: DataFrame, least: int = 4) -> dict[str, tuple[int, ...
     A length stands out if at least `least` values, and 8 times as many as on average within 50 characters of it,
     have it; kept are all that have at least a quarter of the values of the source's most frequent one.
     """
-    counts = counts.where("size is not null")
     band = counts.withColumn("band", F.explode(F.array(F.floor(F.col("size") / 50) - 1, F.floor(F.col("size") / 50), F.floor(F.col("size") / 50) + 1))).groupBy("source", "band").agg(F.sum("n").alias("around"))
     peaks = counts.where(F.col("n") >= least).withColumn("band", F.floor(F.col("size") / 50)).join(band, ["source", "band"]).where(F.col("n") - 1 > 8 * (F.col("around") - F.col("n")) / 149)
     top = peaks.groupBy("source").agg(F.max("n").alias("most"))
@@ -127,18 +137,16 @@ def length_limits(counts: DataFrame, least: int = 4) -> dict[str, tuple[int, ...
     return {r.source: tuple(sorted(r.sizes)) for r in kept.collect()}
 
 
-def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], total: int, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _sample(ends: DataFrame, limits: dict[str, tuple[int, ...]], sample: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature rows and labels: the values as they are, and artificially cut ones."""
     row = F.create_map(*(F.lit(x) for kv in limits.items() for x in (kv[0], kv[1][-1]))) if limits else F.create_map().cast("map<string,int>")
     size = F.length("text")
     limit = F.coalesce(F.try_element_at(row, F.coalesce("source", F.lit(""))), F.lit(0))
     dice = F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(1000)) / 1000
     cut = F.when((limit > 0) & (limit < size) & (F.pmod(F.xxhash64("doc_id", F.lit("at")), F.lit(2)) == 0), limit).otherwise((size * (0.3 + 0.69 * dice)).cast("int"))
-    usable = documents.where("doc_id is not null")
-    share = min(1.0, sample / max(1, total))
     rows = (
-        usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).withColumn("text", F.coalesce("text", F.lit(""))).where(F.length(F.trim("text")) > 0).withColumn("cut", cut)
-        .select("source", F.expr(f"right(text, {TAIL})").alias("tail"), size.alias("size"), "cut", F.expr(f"substring(text, greatest(cut - {TAIL}, 0) + 1, least(cut, {TAIL}))").alias("head"), F.expr("substring(text, cut + 1, 3)").alias("next"), F.xxhash64("doc_id").alias("h"), "doc_id")
+        ends.where(F.length(F.trim("text")) > 0).withColumn("cut", cut)
+        .select("source", "tail", size.alias("size"), "cut", F.expr(f"substring(text, greatest(cut - {TAIL}, 0) + 1, least(cut, {TAIL}))").alias("head"), F.expr("substring(text, cut + 1, 3)").alias("next"), F.xxhash64("doc_id").alias("h"), "doc_id")
         .collect()
     )
     rows = sorted(rows, key=lambda r: (r.h, r.doc_id))[:sample]
@@ -163,11 +171,9 @@ def _sample(documents: DataFrame, limits: dict[str, tuple[int, ...]], total: int
     return x, np.array(y)
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, tuple[int, ...]]]:
-    documents = documents.select("doc_id", "source", "text")
-    counts = length_counts(documents)
-    limits, total = length_limits(counts), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    x, y = _sample(documents, limits, total, sample)
+def fit(ends: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, tuple[int, ...]]]:
+    limits = length_limits(length_counts(ends))
+    x, y = _sample(ends, limits, sample)
     w = train(x, y)
     for turn in range(2 if len(x) and y.any() else 0):
         sure = [k for k in range(len(x)) if y[k] or score(w, x[k]) < DOUBT]
@@ -175,7 +181,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[st
     return w, limits
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, dict[str, tuple[int, ...]]], at: float = 0.5) -> DataFrame:
+def scored(ends: DataFrame, model: tuple[np.ndarray, dict[str, tuple[int, ...]]], at: float = 0.5) -> DataFrame:
     """(doc_id, source, score, cut) of every document."""
     w, limits = model
     known = np.nonzero(w)[0].astype(np.int32)
@@ -189,8 +195,13 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, dict[str, tuple[int, .
             p = [score(weights, hashed(features(t, n, limits.get(s or "", ())))) if t and t.strip() and len(known) else 0.0 for s, t, n in zip(sources, tails, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array([x >= at for x in p])], ["doc_id", "source", "score", "cut"])
 
-    seen = documents.where("doc_id is not null").select("doc_id", "source", F.expr(f"right(text, {TAIL})").alias("tail"), F.length("text").alias("size"))
-    return seen.mapInArrow(run, "doc_id bigint, source string, score double, cut boolean")
+    return ends.where("doc_id is not null").select("doc_id", "source", "tail", "size").mapInArrow(run, "doc_id bigint, source string, score double, cut boolean")
+
+
+def cut_texts(documents: DataFrame) -> DataFrame:
+    """scored() by a model fitted to the documents themselves."""
+    ends = endings(documents)
+    return scored(ends, fit(ends))
 
 
 def rates(scores: DataFrame) -> DataFrame:

@@ -157,8 +157,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return cut_detect.scored(documents, cut_detect.fit(documents))
+    return cut_detect.cut_texts(table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

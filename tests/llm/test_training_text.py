@@ -433,17 +433,21 @@ def test_held_out_accuracy(spark):
             text += f"\nhttps://a.example.org/{rng.randint(1, 99999)}"
         rows.append((k, "ab"[k % 2], text))
     docs = spark.createDataFrame([*rows, (5, "b", rows[5][2]), (1000, "a", None), (1001, None, "  "), (1002, "a", prose(90_000, rng)), (None, "a", "断")], "doc_id bigint, source string, text string").selectExpr("*", "1 as cut", "2 as size", "3 as tail", "4 as h")
-    got = {r.doc_id for r in CD.scored(docs, CD.fit(docs)).where("cut").collect()}
+    got = {r.doc_id for r in CD.cut_texts(docs).where("cut").collect()}
     assert len(got & cut) / len(cut) >= 0.88 and len(got - cut) < 0.03 * len(rows) and 1000 not in got and 1001 not in got
-    rates = {r.source: r for r in CD.rates(CD.scored(docs, CD.fit(docs))).collect()}
+    rates = {r.source: r for r in CD.rates(CD.cut_texts(docs)).collect()}
     assert rates["a"].documents == 452
-    assert CD.scored(docs.limit(0), CD.fit(docs.limit(0))).count() == 0
+    assert CD.cut_texts(docs.limit(0)).count() == 0
+
+
+def _ends(spark, rows):
+    return CD.endings(spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
 
 
 def test_limits_stand_out(spark):
-    docs = spark.createDataFrame([(k, "x", "a" * (100 if k % 10 == 0 else 50 + (k * 37) % 400)) for k in range(400)], "doc_id bigint, source string, text string")
+    docs = _ends(spark, [(k, "x", "a" * (100 if k % 10 == 0 else 50 + (k * 37) % 400)) for k in range(400)])
     assert CD.length_limits(CD.length_counts(docs)) == {"x": (100,)}
-    many = spark.createDataFrame([(k, "x", "a" * (100 + 200 * (k % 12))) for k in range(600)], "doc_id bigint, source string, text string")
+    many = _ends(spark, [(k, "x", "a" * (100 + 200 * (k % 12))) for k in range(600)])
     assert CD.length_limits(CD.length_counts(many)) == {"x": tuple(range(100, 2400, 200))}
 
 
