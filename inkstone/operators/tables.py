@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from inkstone.functions.geometry import center_inside, overlap_ratio, round_bbox
 from inkstone.functions.text import html_escape, normalize_whitespace, numeric_like
@@ -174,3 +175,20 @@ def cell_boxes(tables: DataFrame, boxes: DataFrame, least: float = 0.45) -> Data
     rows = fence(joined.select(F.explode(held).alias("c")).select("c.*"))
     own, ids = normalize_whitespace(F.coalesce("own", F.lit(""))), F.transform("found", lambda b: b.box_id)
     return rows.select("table_id", "row", "col", F.array_join(ids, ",").alias("box_ids"), ids.alias("ids"), F.when(F.length(own) > 0, own).otherwise(normalize_whitespace(F.array_join(F.transform("found", lambda b: b.text), " "))).alias("text"))
+
+
+def page_ranges(tables: DataFrame) -> DataFrame:
+    """(table_id, doc_id, pages, parts): tables that go on over pages, by their first part; pages and parts are arrays in order.
+
+    A table goes on if it is the last of its page (by id), the next page's first one has the same header row and as many
+    columns, and that row is not blank.
+    """
+    head = F.transform(F.array_sort(F.transform(F.filter("cells", lambda c: (c.row == 0) & c.col.isNotNull()), lambda c: F.struct(c.col.alias("col"), normalize_whitespace(F.coalesce(c.text, F.lit(""))).alias("text")))), lambda c: c.text)
+    told = fence(tables.select("table_id", "doc_id", "page", F.coalesce("columns", F.lit(-1)).alias("columns"), F.array_join(head, "|").alias("head")))
+    page = W.partitionBy("doc_id", "page")
+    told = told.withColumn("first", F.col("table_id") == F.min("table_id").over(page)).withColumn("last", F.col("table_id") == F.max("table_id").over(page))
+    same = W.partitionBy("doc_id", "head", "columns").orderBy("page", "table_id")
+    on = (F.col("page") == F.lag("page").over(same) + 1) & F.col("first") & F.lag("last").over(same) & (F.regexp_replace("head", r"[|\s]", "") != "")
+    runs = told.withColumn("new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(same))
+    one = runs.groupBy("doc_id", "head", "columns", "run").agg(F.array_sort(F.collect_list(F.struct("page", "table_id"))).alias("all"))  # the parts of one table
+    return one.select(F.col("all")[0].table_id.alias("table_id"), "doc_id", F.transform("all", lambda x: x.page).alias("pages"), F.transform("all", lambda x: x.table_id).alias("parts"))

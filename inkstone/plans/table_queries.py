@@ -56,6 +56,12 @@ def table_cell_boxes(spark, d):
     return T.cell_boxes(_tables(spark, d), _boxes(spark, d)).drop("ids")
 
 
+def table_page_ranges(spark, d):
+    """Every table with its pages."""
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return T.page_ranges(_tables(spark, d)).select("table_id", "doc_id", joined("pages"), joined("parts"))
+
+
 _BASE = f"""t AS {S.TABLES},
 c0 AS (SELECT table_id, c.row AS row, c.col AS col, {S.norm("coalesce(c.text, '')")} AS text, c.col_span AS cs, c.row_span AS rs, k FROM (SELECT table_id, unnest(cells) AS c, unnest(generate_series(1, len(cells))) AS k FROM t) WHERE c.row IS NOT NULL AND c.col IS NOT NULL),
 c AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY table_id, row, col ORDER BY k DESC) = 1),
@@ -95,7 +101,7 @@ j AS (SELECT c.table_id, c.row, c.col, string_agg(x.box_id, ',' ORDER BY x.top,
   WHERE greatest(0, x.x1 - x.x0) * greatest(0, x.bottom - x.top) > 0 AND greatest(0, least(x.x1, c.b[3]) - greatest(x.x0, c.b[1])) * greatest(0, least(x.bottom, c.b[4]) - greatest(x.top, c.b[2])) / (greatest(0, x.x1 - x.x0) * greatest(0, x.bottom - x.top)) >= 0.45 GROUP BY ALL)
 SELECT c.table_id, c.row, c.col, coalesce(j.ids, '') AS box_ids, CASE WHEN length({S.norm("coalesce(c.text, '')")}) > 0 THEN {S.norm("coalesce(c.text, '')")} ELSE {S.norm("coalesce(j.texts, '')")} END AS text FROM c LEFT JOIN j USING (table_id, row, col)"""
 
-QUERIES = {f.__name__: f for f in (table_matrix, table_header_rows, table_column_headers, table_row_texts, table_markdown, table_text, table_html, table_spans, table_cell_boxes)}
+QUERIES = {f.__name__: f for f in (table_matrix, table_header_rows, table_column_headers, table_row_texts, table_markdown, table_text, table_html, table_spans, table_cell_boxes, table_page_ranges)}
 SQL = {
     "table_matrix": lambda: f"WITH {_BASE} SELECT table_id, row, col, text FROM m",
     "table_header_rows": lambda: f"WITH {_BASE} SELECT table_id, row FROM heads",
@@ -106,4 +112,7 @@ SQL = {
     "table_html": _html_sql,
     "table_spans": lambda: _SPANS,
     "table_cell_boxes": lambda: _CELL_BOXES,
+    "table_page_ranges": lambda: f"""WITH t AS {S.TABLES}, h AS (SELECT table_id, doc_id, page, coalesce(columns, -1) AS columns, array_to_string(list_transform(list_sort(list_transform(list_filter(cells, lambda c: c.row = 0 AND c.col IS NOT NULL), lambda c: {{'col': c.col, 'text': {S.norm("coalesce(c.text, '')")}}})), lambda c: c.text), '|') AS head, min(table_id) OVER p = table_id AS first, max(table_id) OVER p = table_id AS last FROM t WINDOW p AS (PARTITION BY doc_id, page)),
+      r AS (SELECT *, CASE WHEN page = lag(page) OVER w + 1 AND first AND lag(last) OVER w AND regexp_replace(head, '[|\\s]', '', 'g') <> '' THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY doc_id, head, columns ORDER BY page, table_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, head, columns ORDER BY page, table_id) AS run FROM r)
+      SELECT min_by(table_id, (page, table_id)) AS table_id, doc_id, string_agg(page::VARCHAR, ',' ORDER BY page, table_id) AS pages, string_agg(table_id, ',' ORDER BY page, table_id) AS parts FROM g GROUP BY doc_id, head, columns, run""",
 }

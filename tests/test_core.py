@@ -347,6 +347,39 @@ def test_relative_paths(spark, tmp_path, monkeypatch):
     assert chunk.metadata.title == "T" and chunk.table.html.startswith("<table>") and chunk.table.table_protection == "row_boundary" and chunk.section is None and len(chunk.table.cells) == 4
 
 
+def test_tables_over_pages(spark):
+    made = [("t1", 1, "年|收入"), ("t2", 1, "年|成本"), ("t3", 2, "年|成本"), ("t4", 3, "年|成本"), ("t5", 3, "年|收入"), ("t6", 5, "年|收入"), ("t7", 6, "|"), ("t8", 7, "|")]
+    rows = [(i, "d", p, 2, [(0, c, t, None, None, 1, 1, None) for c, t in enumerate(h.split("|"))]) for i, p, h in made] + [("u", "e", 2, None, None)]
+    got = {r.table_id: (r.pages, r.parts) for r in tables.page_ranges(spark.createDataFrame(rows, f"table_id string, doc_id string, page int, columns int, cells {CELL}")).collect()}
+    assert got == {"t1": ([1], ["t1"]), "t2": ([1, 2, 3], ["t2", "t3", "t4"]), "t5": ([3], ["t5"]), "t6": ([5], ["t6"]), "t7": ([6], ["t7"]), "t8": ([7], ["t8"]), "u": ([2], ["u"])}
+
+
+def test_hybrid_against_plain_python(spark):
+    rng = random.Random(3)
+    lists = [[(q, i, round(rng.random(), 2)) for q in range(4) for i in rng.sample(range(12), 6)] for _ in range(2)]
+    lists[0] = [x for x in lists[0] if x[0] != 3]
+    scheme = "query_id bigint, id bigint, score double"
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in retrieval.fused(*(spark.createDataFrame(x, scheme) for x in lists), k=5).collect()}
+    for q in range(4):
+        total = {}
+        for share, given in zip((0.6, 0.4), lists):
+            own = {i: s for p, i, s in given if p == q}
+            for i, s in own.items():
+                low, high = min(own.values()), max(own.values())
+                total[i] = total.get(i, 0.0) + share * ((s - low) / (high - low) if high > low else 1.0)
+        best = sorted((-round(s, 6), i) for i, s in total.items())[:5]
+        assert [got[q, k][0] for k in range(1, len(best) + 1)] == [i for _, i in best]
+
+
+def test_tables_are_streamed(spark, tmp_path):
+    rows = "array<struct<row:int,text:string,is_header:boolean>>"
+    page = [("d", "s", 1, "文", [], [("T", "C", "x", 2, [(0, "h", True), (1, "r", False)]), (None, None, "y", 1, None)], "m")]
+    df = spark.createDataFrame(page, f"doc_id string, source string, page int, text string, sections array<struct<section_id:string,text:string,layout_type:string>>, tables array<struct<table_id:string,caption:string,text:string,rows:int,protected_rows:{rows}>>, metadata string")
+    df.write.parquet(str(tmp_path / "in"))
+    out = stream.run_once(stream.chunk_stream(stream.page_stream(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted((r.chunk_id, r.text) for r in out.collect()) == [("T", "C\nh\nr"), ("d-p001-c001", "文"), ("d-p001-t002", "y")]
+
+
 def test_tables_from_geometry(spark):
     cell = lambda r, c, t, x0, y0, x1, y1: (r, c, t, [x0, y0, x1, y1], None, 1, 1, None)
     cells = [cell(0, 0, "项目", 0.0, 0.0, 50.0, 10.0), cell(0, 1, "2023", 50.0, 0.0, 100.0, 10.0), cell(1, 0, None, 0.0, 10.0, 50.0, 20.0), cell(1, 1, "7", 50.0, 10.0, 100.0, 20.0), cell(2, 0, "合计 9", 0.0, 20.0, 100.0, 30.0), (3, 0, "no bbox", None, None, 1, 1, None), cell(4, 0, " ", 0.0, 30.0, 50.0, 40.0)]

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -30,6 +32,12 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_sql_needs_no_session():
+    code = "import __spark_entry__ as e; print(len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) == len(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
