@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from inkstone.llm.batches import slices
 from inkstone.session import materialize
@@ -241,7 +242,7 @@ def family(language: str) -> str:
     return "zh" if language in ("zh", "ja") else "latin"
 
 
-def quantiles(stats: DataFrame) -> dict[str, np.ndarray]:
+def quantiles(stats: DataFrame, own_only: bool = False) -> dict[str, np.ndarray]:
     """Per language a row of quantiles at GRID for each statistic, from KLL sketches. A row per language (ten at most) reaches the driver.
 
     Each language's chunks are sketched in parts, whose sketches are then merged; families from the languages' sketches.
@@ -256,7 +257,37 @@ def quantiles(stats: DataFrame) -> dict[str, np.ndarray]:
     rows = own.select("language", "n", *at).collect()
     pooled = {r.family: read(r) for r in joint.select("family", *at).collect()}
     total = sum(r.n for r in rows)
-    return {r.language: read(r) if r.n >= OWN_SHARE * total else pooled[family(r.language)] for r in rows}
+    return {r.language: read(r) if r.n >= OWN_SHARE * total else pooled[family(r.language)] for r in rows if not own_only or r.n >= OWN_SHARE * total}
+
+
+def rank_errors(stats: DataFrame, known: dict[str, np.ndarray]) -> DataFrame:
+    """(language, statistic, n, error): by how much the quantiles' ranks are off at most, by exact counts of all chunks in one reading.
+
+    Languages that are scored by their family's quantiles are left out. n and error are of at most ten languages.
+    """
+    names = sorted(known)
+    schema = "language string, statistic string, at int, below bigint, upto bigint"
+    points = len(GRID)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(names), len(STATS), points + 1), np.int64)
+        for batch in batches:
+            language, blank = np.array(batch.column("language").to_pylist(), object), batch.column("blank").to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names):
+                mine = (language == name) & ~blank
+                for k, s in enumerate(STATS if mine.any() else ()):
+                    v = batch.column(s).to_numpy(zero_copy_only=False)[mine]
+                    for side, how in enumerate(("right", "left")):  # a value counts below the points beyond it, and up to those it reaches
+                        seen[side, i, k] += np.bincount(np.searchsorted(known[name][k], v, how), minlength=points + 1)
+        i, k, at = np.nonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i], pa.string()), pa.array([STATS[x] for x in k], pa.string()), pa.array(at.astype(np.int32)), *(pa.array(seen[side, i, k, at]) for side in (0, 1))], ["language", "statistic", "at", "below", "upto"])
+
+    counts = stats.mapInArrow(run, schema).groupBy("language", "statistic", "at").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points)), lambda j: F.struct(j.alias("at"), (j / F.lit(points - 1)).alias("rank")))).alias("g")
+    every = counts.groupBy("language", "statistic").agg(F.sum("upto").alias("n")).select("*", grid).select("language", "statistic", "n", "g.*")
+    by = W.partitionBy("language", "statistic").orderBy("at")  # a thousand rows
+    sums = every.join(counts, ["language", "statistic", "at"], "left").fillna(0, ["below", "upto"]).withColumn("below", F.sum("below").over(by) / F.col("n")).withColumn("upto", F.sum("upto").over(by) / F.col("n")).where(F.col("at") < points)
+    return sums.groupBy("language", "statistic", "n").agg(F.max(F.greatest(F.lit(0.0), F.col("below") - F.col("rank"), F.col("rank") - F.col("upto"))).alias("error"))
 
 
 def percentiles(v: np.ndarray, q: np.ndarray) -> np.ndarray:

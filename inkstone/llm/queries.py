@@ -48,6 +48,17 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality_stats.kinds(stats, table(spark, d, "chunk_labels"), with_scores=True)
 
 
+def p3_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Per statistic whether all percentiles are right to 0.01, by exact counts of all chunks of each language."""
+    stats = quality_stats.described(table(spark, d, "chunks"))
+    errors = quality_stats.rank_errors(stats, quality_stats.quantiles(stats, own_only=True))
+    return errors.groupBy("statistic").agg((F.max("error") <= 0.01).alias("right"))
+
+
+def p3_ranks_sql() -> str:
+    return f"SELECT unnest([{', '.join(S.text(s) for s in quality_stats.STATS)}]) AS statistic, true AS right"
+
+
 def _split(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     things = bisect_split.items(table(spark, d, "parsed_pages"), table(spark, d, "structured_tables"))
     return bisect_split.split_items(things, table(spark, d, "split_limits"), with_text)
@@ -169,6 +180,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return cut_detect.rates(_scored(spark, d))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_ranks": p3_ranks, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p4_found": p4_sql, "p4_rebuilt": p4_rebuilt_sql, "p6_found": p6_sql}
+SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p3_ranks": p3_ranks_sql, "p4_found": p4_sql, "p4_rebuilt": p4_rebuilt_sql, "p6_found": p6_sql}

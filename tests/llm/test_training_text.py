@@ -158,6 +158,21 @@ def test_percentiles_against_exact_ranks(spark, kind):
         assert ((exact < 0.02) <= low[:, 0]).all() and ((exact > 0.98) <= high[:, 0]).all() and (low[:, 0] <= (exact < 0.03)).all() and (high[:, 0] <= (exact > 0.97)).all()
 
 
+def test_rank_errors_by_counts(spark):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(4_000) < 0.5, 0, rng.random(4_000)).astype(np.float32)
+    rows = spark.createDataFrame([(f"c{k}", k % 400 == 0, "zh" if k % 3 else "latin", float(v)) for k, v in enumerate(x)], "chunk_id string, blank boolean, language string, v float").select("chunk_id", "blank", "language", *(F.col("v").alias(s) for s in QS.STATS))
+    known = QS.quantiles(rows, own_only=True)
+    got = {(r.language, r.statistic): (r.n, r.error) for r in QS.rank_errors(rows, known).collect()}
+    assert len(got) == 2 * len(QS.STATS)
+    for name, part in (("zh", [k % 3 != 0 and k % 400 != 0 for k in range(4000)]), ("latin", [k % 3 == 0 and k % 400 != 0 for k in range(4000)])):
+        v, q = np.sort(x[part]), known[name][0]
+        error = max(max(np.searchsorted(v, a, "left") / len(v) - g, g - np.searchsorted(v, a, "right") / len(v), 0) for a, g in zip(q, QS.GRID))
+        assert got[name, "words"][0] == len(v) and abs(got[name, "words"][1] - error) < 1e-9 and error <= 0.01
+    shifted = {n: q + 0.1 for n, q in known.items()}
+    assert min(r.error for r in QS.rank_errors(rows, shifted).collect()) > 0.04
+
+
 def test_languages():
     texts = ["公司收入增长 EBITDA", "これは日本語の文章です", "hello world", "이것은 한국어", "это русский", "ελληνικά", "مرحبا", "12345", "שלום", "नमस्ते", "สวัสดี"]
     _, found = QS.statistics(texts, np.zeros((2, QS.BUCKETS)), np.zeros(0x110000, bool))
