@@ -195,11 +195,13 @@ def parsed(rows: DataFrame) -> DataFrame:
     each = rows.select(*kept, "heads", F.explode(F.filter("cells", lambda c: (c.col > 0) & c.text.isNotNull())).alias("c"))
     each = each.select(*kept, F.element_at("heads", F.col("c.col")).alias("head"), F.col("c.col").alias("col"), F.col("c.text").alias("raw")).where("head is not null")
     each = fence(each.withColumn("text", F.trim(F.when(F.col("raw").rlike(r"[^\x20-\x7e]"), fold_column(F.col("raw"))).otherwise(F.col("raw")))).drop("raw"))
-    part = lambda k: F.regexp_extract("text", NUMBER, k)
+    apart = F.split(F.regexp_replace("text", NUMBER, "\x01".join(f"${k}" for k in range(1, 8))), "\x01")  # one run of the pattern for all of its parts
+    each = fence(each.withColumn("parts", apart)).where("size(parts) = 7")
+    part = lambda k: F.col("parts")[k - 1]
     minus = (part(2) == "-") | (part(4) == "-") | ((part(1) == "(") & (part(6) == ")"))
-    value = F.regexp_replace(part(5), ",", "").try_cast("double")
+    value = F.replace(part(5), F.lit(","), F.lit("")).try_cast("double")
     unit = F.trim(F.concat_ws(" ", F.nullif(part(3), F.lit("")), F.nullif(F.trim(part(7)), F.lit(""))))
-    out = each.where(F.col("text").rlike(NUMBER)).select(*kept, "col", F.col("head.year").alias("year"), F.when(minus, -value).otherwise(value).alias("number"), F.when(F.length(unit) > 0, unit).alias("cell_unit"), F.col("head.unit").alias("header_unit"))
+    out = each.select(*kept, "col", F.col("head.year").alias("year"), F.when(minus, -value).otherwise(value).alias("number"), F.when(F.length(unit) > 0, unit).alias("cell_unit"), F.col("head.unit").alias("header_unit"))
     return out.where("number is not null")
 
 
