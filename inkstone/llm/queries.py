@@ -117,6 +117,33 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.text_links(table(spark, d, "chunks"))
 
 
+def _links_sql() -> str:
+    """CTEs that compare every text with every other that has an 8-gram in common: m (chunk_id, id), links (x, y)."""
+    solid, least, share = S.bare("text"), near_duplicates.LEAST, near_duplicates.SHARE
+    return f"""c AS (SELECT DISTINCT chunk_id, {solid} AS t FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL AND length({solid}) >= {least}),
+x AS (SELECT t, min(chunk_id) AS id, length(t) AS n FROM c GROUP BY t), m AS (SELECT c.chunk_id, x.id FROM c JOIN x USING (t)),
+g AS (SELECT id, n, k, substring(t, k, 8) AS gram FROM (SELECT *, unnest(generate_series(1, n - 7)) AS k FROM x)), u AS (SELECT DISTINCT id, gram FROM g),
+many AS (SELECT g.id AS a, u.id AS b FROM g JOIN u USING (gram) WHERE g.id <> u.id GROUP BY 1, 2 HAVING count(*) * 8 >= {share}::DOUBLE * any_value(g.n)),
+step AS (SELECT g.id AS a, u.id AS b, n, lead(k) OVER (PARTITION BY g.id, u.id ORDER BY k) - k AS step FROM g JOIN u USING (gram) SEMI JOIN many ON many.a = g.id AND many.b = u.id),
+held AS (SELECT a, b FROM step GROUP BY 1, 2 HAVING sum(least(8, coalesce(step, 8))) / any_value(n) >= {share}::DOUBLE),
+links AS (SELECT p.a AS x, p.b AS y FROM held p JOIN held q ON q.a = p.b AND q.b = p.a WHERE p.a < p.b), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links)"""
+
+
+def p5_sql() -> str:
+    return f"""WITH {_links_sql()}, tx AS (SELECT x, y FROM links UNION SELECT p.x, q.x FROM ways p JOIN ways q ON p.y = q.y WHERE p.x < q.x)
+SELECT DISTINCT least(p.chunk_id, q.chunk_id) AS chunk_a, greatest(p.chunk_id, q.chunk_id) AS chunk_b FROM tx JOIN m p ON p.id = tx.x JOIN m q ON q.id = tx.y WHERE p.chunk_id <> q.chunk_id UNION SELECT p.chunk_id, q.chunk_id FROM m p JOIN m q ON p.id = q.id WHERE p.chunk_id < q.chunk_id"""
+
+
+def p5_links_sql() -> str:
+    return f"WITH {_links_sql()} SELECT x AS text_a, y AS text_b FROM links"
+
+
+def p5_groups_sql() -> str:
+    return f"""WITH RECURSIVE {_links_sql()}, reach AS (SELECT id AS a, id AS b FROM x UNION SELECT reach.a, ways.y FROM reach JOIN ways ON ways.x = reach.b),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1), deg AS (SELECT x AS id, count(*) AS links FROM ways GROUP BY 1)
+SELECT m.chunk_id, class_id, m.id AS text_id, coalesce(links, 0)::BIGINT AS links FROM m JOIN class ON class.a = m.id LEFT JOIN deg ON deg.id = m.id"""
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_search.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -182,4 +209,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_ranks": p3_ranks, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links, "p6_found": p6_found,
                              "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p3_ranks": p3_ranks_sql, "p4_found": p4_sql, "p4_rebuilt": p4_rebuilt_sql, "p6_found": p6_sql}
+SQL: dict[str, Callable[[], str]] = {"p1_found": p1_sql, "p3_ranks": p3_ranks_sql, "p4_found": p4_sql, "p4_rebuilt": p4_rebuilt_sql, "p5_found": p5_sql, "p5_links": p5_links_sql, "p5_groups": p5_groups_sql, "p6_found": p6_sql}
