@@ -15,7 +15,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -198,12 +198,14 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def ivf_centres(rows: DataFrame, cells: int = 16, sample: int = 50_000, seed: int = 1) -> np.ndarray:
-    """The centres of coarse cells, fitted by k-means on about `sample` rows at most."""
+    """The centres of coarse cells, fitted by k-means on about `sample` rows at most; none without rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = rows.where("id is not null and size(embedding) > 0")
-    share = min(1.0, sample / max(1, usable.count()))
+    if not (n := usable.count()):
+        return np.zeros((0, 0))
+    share = min(1.0, sample / n)
     some = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v")))
     return np.array(model.clusterCenters())
@@ -216,7 +218,7 @@ def save_ivf(rows: DataFrame, path: str, cells: int = 16, sample: int = 50_000,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1), centres.shape[1])
-            near = ((centres**2).sum(1) - 2 * v @ centres.T).argmin(1) if len(v) else np.array([], int)
+            near = ((centres**2).sum(1) - 2 * v @ centres.T).argmin(1) if len(v) else np.array([], int)  # no rows without centres
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], ["id", "embedding", "cell"])
 
     placed = rows.where("id is not null and size(embedding) > 0").select("id", "embedding").mapInArrow(run, "id bigint, embedding array<float>, cell int")
@@ -230,6 +232,8 @@ def ivf_topk(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, pro
     Rows in other cells are missed; README has the recall.
     """
     centres = np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])  # a row per cell
+    if not len(centres):
+        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
     rows, out = spark.read.parquet(f"{path}/rows"), None
     for part in batched((tuple(r) for r in queries.where("query_id is not null and size(embedding) > 0").select("query_id", "embedding").orderBy("query_id").toLocalIterator()), block):
         names, matrix = np.array([p[0] for p in part]), np.array([p[1] for p in part], float)
@@ -266,22 +270,31 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
-def bm25_topk(rows: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, term_bound: int = 1_000_000) -> DataFrame:
+#: Distinct terms of a query set up to which they are broadcast, so that one pass over the rows is enough.
+TERMS = 1_000_000
+
+
+def bm25_topk(rows: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, terms_at_once: int = TERMS) -> DataFrame:
     """(query_id, rank, id, score): Okapi BM25. rows: id, text; queries: query_id, query.
 
-    One pass over the rows makes the postings of the queries' terms and, beside, their number and mean length; only
-    these postings leave the map tasks. The terms are broadcast up to `term_bound`.
+    One pass over the rows writes the words that are asked for and, as an empty word, every row with its length; only
+    words that are asked for leave the map tasks. With more than `terms_at_once` terms their join shuffles, and
+    the lengths take a pass of their own.
     """
-    asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms, seen = small(materialize(asked.select("term").distinct()), term_bound), Observation()
-    sized = fence(rows.where("id is not null").select("id", tokens(F.col("text")).alias("words"))).select("id", "words", F.size("words").alias("length"))
-    sized = sized.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    postings = materialize(sized.select("id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf")))
-    n, mean = float(seen.get["n"]), float(seen.get["mean"] or 1.0) or 1.0
-    df = F.count("*").alias("df")
+    asked = materialize(queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
+    terms = asked.select("term").distinct()
+    sized = fence(rows.where("id is not null").select("id", tokens(F.col("text")).alias("words"))).select("id", F.size("words").alias("length"), "words")
+    if terms.count() <= terms_at_once:
+        wanted = F.broadcast(terms.unionByName(rows.sparkSession.createDataFrame([("",)], "term string")))
+        words = materialize(sized.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "words")).alias("term")).join(wanted, "term", "left_semi"))
+        lengths, words = words.where("term = ''"), words.where("term <> ''")
+    else:
+        lengths, words = sized, sized.select("id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi")
+    n, mean = lengths.agg(F.count(F.lit(1)).cast("double"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0))).first()
+    postings = materialize(words.groupBy("term", "id", "length").agg(F.count("*").alias("tf")))
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    scores = postings.join(postings.groupBy("term").agg(df), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 4).alias("score"))
+    scores = postings.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 4).alias("score"))
     return ranked(scores, k)
 
 

@@ -233,7 +233,7 @@ def unit_dictionary(cells: DataFrame) -> DataFrame:
 
 def label_dictionary(labels: DataFrame, terms: DataFrame) -> DataFrame:
     """(label, term_id, measure, label_measure, label_size) of every row label that is a term with a measure."""
-    given = terms.where("term is not null and measure is not null").select("term_id", "term", "measure").collect()  # a fixed list
+    given = terms.where("term_id is not null and term is not null and measure is not null").select("term_id", "term", "measure").collect()  # a fixed list
 
     def read():
         units, known = unit_index(), term_index(given)

@@ -433,6 +433,35 @@ def test_clustered_search_as_registered(spark, tmp_path):
     assert "PartitionFilters: [cell" in one._jdf.queryExecution().toString() and retrieval.ivf_topk(spark, str(tmp_path / "ivf"), asked.limit(0), 5).count() == 0
 
 
+def test_word_search_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = {k: "".join(rng.choice("储能电池价格 ab1，") for _ in range(rng.randint(0, 40))) for k in range(60)}
+    asked = {1: "储能 ab", 2: "电池价格", 3: "", 4: None, 5: "zzz"}
+    split = lambda t: [m for run in re.findall("[一-鿿]+", (t or "").lower()) for m in ([run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)])] + re.findall("[a-z0-9]+", (t or "").lower())
+    words = {k: split(t) for k, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    expected = {}
+    for q, text in asked.items():
+        scores = {}
+        for term in set(split(text)):
+            df = sum(term in w for w in words.values())
+            for k, w in words.items():
+                if tf := w.count(term):
+                    scores[k] = scores.get(k, 0) + np.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        expected |= {(q, r): k for r, (k, _) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 4), x[0]))[:5], 1)}
+    rows = spark.createDataFrame([*texts.items(), (None, "储能")], "id bigint, text string").selectExpr("*", "1 as length", "2 as score", "'x' as term")
+    queries = spark.createDataFrame([*asked.items(), (None, "储能")], "query_id bigint, query string")
+    for bound in (0, 100):
+        assert {(r.query_id, r.rank): r.id for r in retrieval.bm25_topk(rows, queries, 5, terms_at_once=bound).collect()} == expected
+        assert retrieval.bm25_topk(rows.limit(0), queries, 5, terms_at_once=bound).count() == 0 and retrieval.bm25_topk(rows, queries.limit(0), 5, terms_at_once=bound).count() == 0
+
+
+def test_clustered_search_without_rows(spark, tmp_path):
+    rows = spark.createDataFrame([], "id bigint, embedding array<float>")
+    retrieval.save_ivf(rows, str(tmp_path / "ivf"))
+    assert retrieval.ivf_topk(spark, str(tmp_path / "ivf"), rows.withColumnRenamed("id", "query_id"), 5).count() == 0
+
+
 def test_vectors_of_one_size(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id bigint, embedding array<float>")
     with pytest.raises(ValueError):
@@ -499,7 +528,7 @@ def test_answers_and_expansion(spark):
 # --- 2: quantities in different units
 
 TABLES = f"table_id string, doc_id string, page int, caption string, parsed_at int, cells {CELL}"
-TERMS = [(1, "营业收入", "money"), (2, "毛利率", "ratio"), (3, "EBITDA（调整后）", "money"), (4, "EBITDA", "money"), (5, "年发电量", "energy"), (6, "风险提示", None), (None, None, None)]
+TERMS = [(1, "营业收入", "money"), (2, "毛利率", "ratio"), (3, "EBITDA（调整后）", "money"), (4, "EBITDA", "money"), (5, "年发电量", "energy"), (6, "风险提示", None), (None, None, None), (None, "营业收入", "money")]
 
 
 def sheet(name, rows, caption=None, page=1):
