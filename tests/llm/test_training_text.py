@@ -295,6 +295,35 @@ def test_hot_block_is_dealt_into_cells(spark):
     assert small == large == split and len(small) == len(made) * (len(made) - 1) // 2
 
 
+def test_hot_block_keeps_pairs_that_meet_in_one_band(spark):
+    rng = random.Random(8)
+    base = prose(300, rng)
+    rows = [(f"h{k:03d}", t) for k, t in enumerate(sorted({_edited(base, rng, 1) for _ in range(60)}))] + [(f"o{k}", prose(300, rng)) for k in range(9)]
+    texts = ND.distinct_texts(ND.sketched(spark.createDataFrame(rows, "chunk_id string, text string")))
+    texts = texts.select("text_key", "n", *ND.WORDS, F.lit(7).cast("bigint").alias("k0"), *(F.xxhash64("text_key", F.lit(k)).alias(k) for k in ND.KEYS[1:]))
+    prints = {r.text_key: np.array(r[2:6], np.int64).view(np.uint64) for r in texts.collect()}
+    near = {(a, b) for a in prints for b in prints if a < b and np.bitwise_count(prints[a] ^ prints[b]).sum() <= ND.RADIUS}
+    assert len(near) >= (len(rows) - 9) * (len(rows) - 10) // 2
+    for cell, hot in ((8, 99), (8, 20), (1, 20)):
+        assert {tuple(r) for r in ND.candidate_pairs(texts, cell=cell, hot=hot).collect()} == near
+
+
+@pytest.mark.parametrize("centres", [2, 900])
+def test_large_block_against_brute_force(centres):
+    rng = np.random.default_rng(centres)
+    draw = lambda *shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64)
+    prints = draw(centres, 4)[rng.integers(0, centres, (2, 1100))] ^ (draw(2, 1100, 4) & draw(2, 1100, 4) & draw(2, 1100, 4))
+    own = rng.integers(0, 2, (2, 1100))
+    a, b, tally = ND.block_pairs(np.arange(2200).reshape(2, 1100), own, np.array([False, True]), prints)
+    near = set()
+    for g in range(2):
+        apart = sum(np.bitwise_count(prints[g, :, None, w] ^ prints[g, None, :, w]).astype(int) for w in range(4))
+        wanted = np.triu(apart <= ND.RADIUS, 1) & (np.full((1100, 1100), g == 0) | (own[g, :, None] != own[g]))
+        near |= {(int(x) + 1100 * g, int(y) + 1100 * g) for x, y in zip(*np.nonzero(wanted))}
+    assert set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) == near and len(a) == len(near) == tally[2]
+    assert tally[0] == 1100 * 1099 // 2 + own[1].sum() * (1100 - own[1].sum())
+
+
 @pytest.mark.parametrize("pivots", [1, 3, 8])
 def test_block_pairs_against_brute_force(pivots):
     rng = np.random.default_rng(pivots)
